@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import pieces, sql
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
+from .mixing import mix_sources
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    docs = _table(spark, sf_dir, "documents")
+    return pieces.round_trip(docs)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), width=3, threshold=85)
 
@@ -28,5 +35,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_minhash_dedup, op9_line_dedup)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_sentencepiece, op6_minhash_dedup, op9_line_dedup, op10_mix_sources)}
 ORACLES = sql.ORACLES

@@ -36,4 +36,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
+OP10 = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+m AS (SELECT source, (1.0::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE) / ((SELECT count(*) FROM n)::DOUBLE * n) AS mean FROM n),
+r AS (SELECT source, mean, greatest(1, ceil(mean / 16.0::DOUBLE))::INTEGER AS draws FROM m),
+p AS (SELECT source, draws, mean / draws AS mu, 0 AS k, exp(-(mean / draws)) AS p, exp(-(mean / draws)) AS c FROM r
+  UNION ALL SELECT source, draws, mu, k + 1, p * mu / (k + 1), c + p * mu / (k + 1) FROM p WHERE k < 95),
+u AS (SELECT d.doc_id, d.source, j, ('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.draws + 1)) AS j)),
+t AS (SELECT u.doc_id, sum((SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.c <= u.u))::BIGINT AS times FROM u GROUP BY u.doc_id),
+e AS (SELECT doc_id, unnest(range(1, times + 1))::INTEGER AS copy FROM t)
+SELECT d.*, e.copy, md5('1/order:' || d.doc_id || ':' || e.copy) AS order_key FROM documents d JOIN e USING (doc_id)
+"""
+
+ORACLES = {"op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
