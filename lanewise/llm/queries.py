@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, sql
+from . import pieces, secrets, sql, warc
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
@@ -30,6 +30,15 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), width=3, threshold=85)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"), min_chars=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -39,5 +48,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_sentencepiece, op6_minhash_dedup, op9_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
 ORACLES = sql.ORACLES

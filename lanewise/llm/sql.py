@@ -49,4 +49,18 @@ e AS (SELECT doc_id, unnest(range(1, times + 1))::INTEGER AS copy FROM t)
 SELECT d.*, e.copy, md5('1/order:' || d.doc_id || ':' || e.copy) AS order_key FROM documents d JOIN e USING (doc_id)
 """
 
-ORACLES = {"op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
+OP8 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest),
+h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)', 1)), '^www[.]', '') AS host,
+  regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#:]*(?::[0-9]*)?([^#]*)', 1) AS rest FROM d)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to,
+  array_to_string(list_reverse(string_split(h.host, '.')), ',') || ')' || CASE WHEN h.rest LIKE '/%' THEN h.rest ELSE '/' || h.rest END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(d.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM d LEFT JOIN f USING (payload_digest) JOIN h USING (page_id)
+"""
+
+ORACLES = {"op8_warc": OP8, "op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
