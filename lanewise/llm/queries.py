@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces, secrets, sql, warc
+from .cover_tree import embedding_dedup
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
@@ -20,6 +21,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     docs = _table(spark, sf_dir, "documents")
@@ -48,5 +53,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_embedding_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
 ORACLES = sql.ORACLES

@@ -63,4 +63,17 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN f USING (payload_digest) JOIN h USING (page_id)
 """
 
-ORACLES = {"op8_warc": OP8, "op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
+OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+  AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93::DOUBLE),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op8_warc": OP8, "op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
