@@ -11,12 +11,18 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
 from .mixing import mix_sources
+from .quality import fit, score_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_embedding_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_embedding_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
 ORACLES = sql.ORACLES

@@ -58,11 +58,25 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
 
 def words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index of the text, hash) of each word, in order, in pieces; a long text spans several."""
+    return runs(texts, WORDS, True)
+
+
+#: Class of each byte: 0 separates, and a run is of one class. MARKS tells punctuation from words.
+WORDS = (~_SPACE).astype(np.int8)
+MARKS = WORDS.copy()
+MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 2
+
+
+def runs(texts: list[bytes], classes: np.ndarray, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the text, hash) of each maximal run of bytes of one class, in order, in pieces."""
     for owner, held in _pieces(texts):
-        data = np.frombuffer(b"\n".join(held).lower(), np.uint8)
-        space = np.concatenate([[True], _SPACE[data], [True]])
-        edge = np.flatnonzero(space[1:] != space[:-1])
-        start, end = edge[0::2], edge[1::2]
+        joined = b"\n".join(held)
+        data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        kind = np.concatenate([np.zeros(1, np.int8), classes[data], np.zeros(1, np.int8)])
+        edge = np.flatnonzero(kind[1:] != kind[:-1])
+        start, end = edge[:-1], edge[1:]
+        inside = kind[start + 1] > 0
+        start, end = start[inside], end[inside]
         power, inverse = _powers(len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
@@ -71,15 +85,15 @@ def words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(owner, np.int64)[np.searchsorted(first, start, "right") - 1], mix(value + (end - start).astype(np.uint64))
 
 
-def whole(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Like ``words``, but no text spans two yields: (indices of texts, word counts, hashes)."""
+def whole(texts: list[bytes], classes: np.ndarray = WORDS, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Like ``runs``, but no text spans two yields: (indices of texts, run counts, hashes)."""
     batch: list[bytes] = []
     first = size = 0
     for i, text in enumerate(texts):
         batch.append(text)
         size += len(text)
         if size >= PIECE or i + 1 == len(texts):
-            got = list(words(batch))
+            got = list(runs(batch, classes, lower))
             at = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in got)])
             yield np.arange(first, i + 1), np.bincount(at, minlength=len(batch)), np.concatenate([np.zeros(0, np.uint64), *(h for _, h in got)])
             batch, first, size = [], i + 1, 0
