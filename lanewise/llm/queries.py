@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import pieces, secrets, sql, warc
 from .cover_tree import embedding_dedup
 from .exact_dedup import exact_dedup
+from .html_crf import extract_main
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
 from .mixing import mix_sources
@@ -23,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -59,5 +64,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_embedding_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_main_text, op3_exact_dedup, op4_embedding_dedup, op5_sentencepiece, op6_minhash_dedup, op7_secrets, op8_warc, op9_line_dedup, op10_mix_sources)}
 ORACLES = sql.ORACLES
