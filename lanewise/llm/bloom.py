@@ -13,7 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .shared import stored
 
 SEGMENT = 1 << 16
 CEILING = 1 << 28  # bits: 32 MB, whatever the input
@@ -111,3 +114,30 @@ def of_column(df: DataFrame, column: str, n_keys: int) -> Filter:
             yield local_rows(keys, keys[:0], n)
 
     return merged(df.select(column).mapInArrow(local, LOCAL_SCHEMA), n, "once")
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs``, whole, whose ``keys`` (null-safe) are not among the rows of ``dropped``, which has columns of those names.
+
+    Rows that the filter clears pass where they are read; only the others meet ``dropped`` in a join.
+    """
+    spark = docs.sparkSession
+    dropped = stored(dropped.select(*keys).distinct(), "dropped")
+    hashed = dropped.select(F.xxhash64(*keys).alias("h"))
+    seen = spark.sparkContext.broadcast(of_column(hashed, "h", dropped.count()))
+    packed = docs.select(F.xxhash64(*keys.values()).alias("h"), F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(seen.value.maybe(batch.column(0).to_numpy().astype(np.int64)) == wanted))
+
+        return run
+
+    clear = packed.mapInArrow(part(False), packed.schema)
+    unsure = packed.mapInArrow(part(True), packed.schema)
+    same = [F.col(f"key.{n}").eqNullSafe(dropped[n]) for n in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return clear.select("doc.*").unionAll(unsure.join(dropped, on, "left_anti").select("doc.*"))

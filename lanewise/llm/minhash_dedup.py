@@ -17,7 +17,7 @@ and is linked with nothing. Two documents are linked when 100 * |A & B| >= thres
    pairs that are already connected are skipped. A tile returns a spanning forest of its links.
 4. Components of the confirmed links, then of every row by its class.
 
-Banding misses a pair at similarity 0.85 with probability (1 - 0.85 ** 5) ** 24, below 1e-6. Shingles
+Banding misses a pair at similarity 0.8 with probability (1 - 0.8 ** 4) ** 30, below 2e-7. Shingles
 are compared by 64-bit hashes. Rows of one doc_id are one document; rows without doc_id are linked
 with nothing (component_id null, kept).
 """
@@ -37,7 +37,7 @@ from .bloom import mix
 from .graph import components
 from .shared import stored
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 30, 4
 MARGIN = 0.2
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
 _rng = np.random.default_rng(20240607)
