@@ -1 +1 @@
-
+"""Contracts, readers and writers."""
