@@ -74,7 +74,7 @@ def execute_daily_flow(spark: SparkSession, config: Mapping[str, Any], batch_dat
     for entity, contract in CONTRACTS.items():
         valid = ingest(spark, contract, sources[entity], bad["ingest"])
         # One columnar copy of the valid rows serves all later passes; the text is parsed once.
-        at = files.write_frame(valid, files.join_path(stage_base, "valid", entity, f"p_date={batch_date}"))
+        at = files.write_frame(valid, files.join_path(stage_base, "valid", entity, f"p_date={batch_date}", "rows"))
         valid = spark.read.schema(valid.schema).parquet(at)
         result = checks[entity] = run_quality_rules(rule_context(contract, valid, quarantine_path=bad["quality"], fail_fast=fail_fast, logger=logger))
         if (blocked := blocking_failures(result["failed_rules"], quality)) and fail_fast:
@@ -91,7 +91,12 @@ def execute_daily_flow(spark: SparkSession, config: Mapping[str, Any], batch_dat
     outputs: dict[str, str] = {}
 
     def publish(name: str, frame: DataFrame) -> DataFrame:
-        """Write a table, and read it for the tables made from it."""
+        """Compute a table once, into staging; publish that copy, and return it for the tables made from it.
+
+        The published folder can't be read back instead: it keeps the partitions of other days.
+        """
+        copy = files.write_frame(frame, files.join_path(stage_base, "curated", name, f"p_date={batch_date}", "rows"))
+        frame = spark.read.schema(frame.schema).parquet(copy)
         at = outputs[name] = write_partitioned_table(
             frame, name, files.join_path(curated, name), keys, str(hive.get("mode", "overwrite")), spark, str(hive.get("database", "curated")),
             bool(hive.get("register_tables", True)), bool(hive.get("repair_partitions", True)), _section(config, "io").get("parquet"),
@@ -101,7 +106,8 @@ def execute_daily_flow(spark: SparkSession, config: Mapping[str, Any], batch_dat
 
     publish("dim_carrier", models.build_dim_carrier(staged["carriers"], batch_date))
     fct = publish("fct_shipment", models.build_fct_shipment(shipments, lookup))
-    event_fct = publish("fct_delivery_event", models.build_fct_delivery_event(events, shipments, lookup))
+    # The shipment facts are the latest shipments already: the events need no second pass over the source rows.
+    event_fct = publish("fct_delivery_event", models.build_fct_delivery_event(events, fct, lookup))
     agg = publish("agg_shipment_daily", models.build_agg_shipment_daily(fct))
     publish("kpi_delivery_daily", models.build_kpi_delivery_daily(agg, event_fct))
     return {"batch_date": batch_date, "outputs": outputs, "quality": {e: {k: r[k] for k in ("status", "failed_rules", "invalid_count")} for e, r in checks.items()}}
