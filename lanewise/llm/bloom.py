@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import small_batches, stored
 
 SEGMENT = 1 << 16
 CEILING = 1 << 28  # bits: 32 MB, whatever the input
@@ -97,7 +97,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged(local: DataFrame, n_segments: int, which: str) -> Filter:
     """Merge ``local`` (LOCAL_SCHEMA) on the executors; ``which`` is the filter to fetch, once or twice."""
     parts = max(1, min(64, n_segments))
-    rows = local.repartition(parts, "segment").mapInArrow(_merge, LOCAL_SCHEMA).select("segment", which).toLocalIterator()
+    rows = local.repartition(parts, "segment").mapInArrow(_merge, LOCAL_SCHEMA).select("segment", which).collect()
     bits = np.zeros(n_segments * SEGMENT // 8, np.uint8)
     for segment, data in rows:
         bits[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(data, np.uint8)
@@ -125,7 +125,7 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
     dropped = stored(dropped.select(*keys).distinct(), "dropped")
     hashed = dropped.select(F.xxhash64(*keys).alias("h"))
     seen = spark.sparkContext.broadcast(of_column(hashed, "h", dropped.count()))
-    packed = docs.select(F.xxhash64(*keys.values()).alias("h"), F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
+    packed = small_batches(docs).select(F.xxhash64(*keys.values()).alias("h"), F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
 
     def part(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

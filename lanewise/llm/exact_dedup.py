@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import stored
+from .shared import small_batches, stored
 
 PREFIX_BITS = 16
 BUCKET_ROWS = 1 << 16
@@ -88,11 +88,11 @@ def build_index(docs: DataFrame, key_of=hash_key, bucket_rows: int = BUCKET_ROWS
     """(light rows: doc_id, key, sha; index: ENTRY). ``key_of`` maps the text column to a bigint key."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", key_of(F.col("text")))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", key_of(F.col("text")))
     light = stored(rows.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("bigint").alias("n_bytes")), "exact-rows")
     keys = stored(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.min("sha").alias("sha"), F.max("n_bytes").alias("n_bytes")), "exact-keys")
     counts = np.zeros(1 << PREFIX_BITS, np.int64)
-    for prefix, n in keys.groupBy(F.shiftrightunsigned("key", 64 - PREFIX_BITS).alias("p")).agg(F.count(F.lit(1))).toLocalIterator():
+    for prefix, n in keys.groupBy(F.shiftrightunsigned("key", 64 - PREFIX_BITS).alias("p")).agg(F.count(F.lit(1))).collect():
         counts[prefix] = n
     table = Directory.over(counts, bucket_rows).by_prefix(PREFIX_BITS)
     directory = spark.sparkContext.broadcast(table)

@@ -31,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
+BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of this session held to BATCH_ROWS rows: whole texts travel in them, and some are long."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCHES, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCHES, str(BATCH_ROWS))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

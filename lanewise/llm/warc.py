@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import new_path, stored
+from .shared import new_path, small_batches, stored
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 128 << 20
@@ -106,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str, time_column: str | None = None
     """Write ``pages`` (page_id, url, html) under ``folder``; returns the finished files: archive, records, bytes."""
     spark = pages.sparkSession
     when = F.date_format(F.col(time_column), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_column else F.lit(None).cast("string")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), when.alias("date"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), when.alias("date"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.xxhash64("digest"))
     repeated = stored(rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first", F.xxhash64("digest").alias("key")), "payloads")
     suspects = spark.sparkContext.broadcast(bloom.of_column(repeated, "key", repeated.count()))
@@ -230,7 +230,7 @@ def merge_runs(runs: DataFrame, parts: int | None = None) -> DataFrame:
     n = runs.count()
     parts = parts or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SLICE + 1))
     step = max(1, n // SAMPLE)
-    sample = sorted(((r[0], r[1], r[2] is not None, r[2] or 0) for r in runs.filter(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(step)) == 0).select("url_key", "captured_at", "page_id").toLocalIterator()))
+    sample = sorted(((r[0], r[1], r[2] is not None, r[2] or 0) for r in runs.filter(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(step)) == 0).select("url_key", "captured_at", "page_id").collect()))
     splitters = spark.sparkContext.broadcast([sample[len(sample) * i // parts] for i in range(1, parts)] if sample else [])
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
