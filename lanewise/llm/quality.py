@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .shared import small_batches
 
-ROWS, DIM, NONZERO, WINDOW = 1 << 16, 48, 4, 2
-SAMPLE = 16_000
+ROWS, DIM, NONZERO, WINDOW = 1 << 16, 32, 4, 2
+SAMPLE = 8_000
+TOKENS = 1 << 15  # words pooled at a time
 HIDDEN = 32
 SEED = 11
 FEATURES = 2 * DIM + 5
@@ -69,6 +71,17 @@ def context_vectors(index: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
     return np.where(norm > 0, out / np.maximum(norm, 1e-6), index)
 
 
+def _means(vectors: np.ndarray, starts: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mean vector of each text, a bounded number of words at a time; a long text is summed in pieces."""
+    out = np.zeros((len(starts), vectors.shape[1]), np.float64)
+    for at in range(0, len(rows), TOKENS):
+        first = np.searchsorted(starts, at, "right") - 1
+        last = np.searchsorted(starts, at + TOKENS, "left")
+        cuts = np.maximum(starts[first:last] - at, 0)
+        out[first:last] += np.add.reduceat(vectors[rows[at : at + TOKENS]], cuts, axis=0)
+    return (out / n).astype(np.float32)
+
+
 def pool(vectors: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(texts, FEATURES) from words per text and their table rows; zeros for a text without words."""
     out = np.zeros((len(counts), FEATURES), np.float32)
@@ -77,8 +90,7 @@ def pool(vectors: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarra
         return out
     starts = (np.cumsum(counts) - counts)[has]
     n = counts[has].astype(np.float32)[:, None]
-    held = vectors[rows]
-    mean = np.add.reduceat(held, starts, axis=0) / n
+    mean = _means(vectors, starts, rows, n)
     out[has, : 2 * DIM] = mean
     text = np.repeat(np.arange(len(has)), counts[has])
     out[has, 2 * DIM] = np.linalg.norm(mean[:, :DIM], axis=1)
@@ -167,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Fit on at most ``sample`` rows of ``labels`` (doc_id, ``label``) that are not held out, and their texts in ``docs``."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     some = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     # At most ``sample`` pairs of integers: bounded, so it may be broadcast.
     found = texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(to_rows, "doc_id bigint, y int, rows binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["rows"]))
-    words = [np.frombuffer(r["rows"], np.uint16).astype(np.int64) for r in found]
+    words = [np.frombuffer(r["rows"], np.uint16) for r in found]
     y = np.array([float(r["y"] > 0) for r in found])
     index = index_vectors()
     vectors = np.concatenate([index, context_vectors(index, words)], axis=1)
     x = np.zeros((len(words), FEATURES), np.float32)
     for s in range(0, len(words), 256):
         part = words[s : s + 256]
-        x[s : s + 256] = pool(vectors, np.array([len(w) for w in part]), np.concatenate(part))
+        x[s : s + 256] = pool(vectors, np.array([len(w) for w in part]), np.concatenate(part).astype(np.int64))
     return Classifier(vectors, train(x, y))
 
 
@@ -201,7 +213,7 @@ def score_quality(docs: DataFrame, classifier: Classifier) -> DataFrame:
             score = shared.value.scores([t or b"" for t in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    scored = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -216,4 +228,4 @@ def quality_filter(docs: DataFrame, classifier: Classifier, least: float = 0.5)
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts) >= least))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
