@@ -10,7 +10,7 @@ of at most sqrt(2 - 2 * threshold), a metric, so balls of centres and covering r
    goes only to tiles whose other ball it can reach.
 3. In a tile, each block gets a cover tree (nested levels, radii halving, centres repeated as their own
    children). The traversal drops node pairs whose covering radii keep them apart, counts
-   node pairs whose covering radii keep them together in bulk, and checks single pairs by their cosine.
+   node pairs whose covering radii keep them together in bulk, and checks points by their cosine.
    A tile returns link counts and a spanning forest.
 4. Link counts are summed by class, components found by large-star and small-star.
 
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import as_stars, components
 from .shared import stored
 
 BLOCK = 8192
 MAX_CENTRES = 4096
 SLACK = 1e-6
+DIRECT = 5000  # point pairs that cost as much as a step of the traversal
 
 
 def _chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -95,20 +96,17 @@ class Links:
         self.x, self.weight, self.threshold = x, weight, threshold
         self.chord = math.sqrt(max(0.0, 2 - 2 * threshold))
         self.count = np.zeros(len(x), np.int64)
-        self.parent = list(range(len(x)))
+        self.label = np.arange(len(x))
         self.forest: list[tuple[int, int]] = []
 
-    def _find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def _tie(self, a: int, b: int) -> None:
-        ra, rb = self._find(a), self._find(b)
-        if ra != rb:
-            self.parent[ra] = rb
-            self.forest.append((a, b))
+    def _tie(self, a: int, others: np.ndarray) -> None:
+        """Connect ``a`` with each of ``others`` that it is not yet connected with."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        for label, b in zip(labels.tolist(), others[first].tolist()):
+            own = self.label[a]
+            if label != own:
+                self.label[self.label == label] = own
+                self.forest.append((a, b))
 
     def _bulk(self, p: Node, q: Node) -> None:
         if p is q:
@@ -117,10 +115,21 @@ class Links:
         else:
             self.count[p.points] += self.weight[q.points].sum()
             self.count[q.points] += self.weight[p.points].sum()
-        for i in p.points.tolist():
-            self._tie(q.centre, i)
-        for i in q.points.tolist():
-            self._tie(p.centre, i)
+        self._tie(q.centre, p.points[p.points != q.centre])
+        self._tie(p.centre, q.points[q.points != p.centre])
+
+    def _all(self, p: Node, q: Node) -> None:
+        """Every pair of points of two nodes, by blocks of rows."""
+        for s in range(0, len(p.points), 1024):
+            rows = p.points[s : s + 1024]
+            hit = self.x[rows] @ self.x[q.points].T >= self.threshold
+            if p is q:
+                hit[np.arange(len(rows)), np.arange(s, s + len(rows))] = False
+            else:
+                self.count[q.points] += self.weight[rows] @ hit
+            self.count[rows] += hit @ self.weight[q.points]
+            for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                self._tie(int(rows[i]), q.points[hit[i]])
 
     def _single(self, a: np.ndarray, b: np.ndarray) -> None:
         for s in range(0, len(a), 1 << 16):
@@ -130,10 +139,13 @@ class Links:
             np.add.at(self.count, i, self.weight[j])
             np.add.at(self.count, j, self.weight[i])
             for u, v in zip(i.tolist(), j.tolist()):
-                self._tie(u, v)
+                self._tie(u, np.array([v]))
 
     def traverse(self, p: Node, q: Node) -> None:
-        """All links between two trees, or within one if they are the same."""
+        """All links between two trees, or within one if they are the same.
+
+        Where the child pairs left open would cost more steps than the points' own comparison, that is made instead.
+        """
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
@@ -142,24 +154,33 @@ class Links:
                     self._bulk(p, p)
                 continue
             left, right = p.parts(), q.parts()
+            single: list[tuple[np.ndarray, np.ndarray]] = []
+            bulk: list[tuple[int, int]] = []
+            open_: list[tuple[int, int]] = []
+            for s in range(0, len(left), 512):
+                r = s if p is q else 0  # of a tree with itself, the upper half
+                d = _chords(self.x[p.centres[s : s + 512]], self.x[q.centres[r:]])
+                reach = p.radii[s : s + 512, None] + q.radii[None, r:]
+                i, j = np.nonzero(d <= reach + (self.chord + SLACK))
+                if p is q:
+                    i, j = i[j > i], j[j > i]
+                spread, d = reach[i, j], d[i, j]
+                i, j = i + s, j + r
+                lone, within = spread == 0, (spread > 0) & (d + spread <= self.chord - SLACK)
+                single.append((p.centres[i[lone]], q.centres[j[lone]]))
+                bulk += zip(i[within].tolist(), j[within].tolist())
+                rest = ~lone & ~within
+                open_ += zip(i[rest].tolist(), j[rest].tolist())
+            if len(open_) + len(bulk) > 16 + len(p.points) * len(q.points) // DIRECT:
+                self._all(p, q)
+                continue
+            for a, b in single:
+                self._single(a, b)
+            for a, b in bulk:
+                self._bulk(left[a], right[b])
+            todo += [(left[a], right[b]) for a, b in open_]
             if p is q:
                 todo += [(c, c) for c in left if len(c.points) > 1]
-            for s in range(0, len(left), 1024):
-                d = _chords(self.x[p.centres[s : s + 1024]], self.x[q.centres])
-                reach = p.radii[s : s + 1024, None] + q.radii[None, :]
-                near = d <= reach + (self.chord + SLACK)
-                if p is q:
-                    near &= np.arange(len(right))[None, :] > np.arange(s, s + len(near))[:, None]
-                i, j = np.nonzero(near)
-                spread = reach[i, j]
-                lone = spread == 0
-                self._single(p.centres[i[lone] + s], q.centres[j[lone]])
-                i, j, within = i[~lone], j[~lone], (d[i, j] + spread <= self.chord - SLACK)[~lone]
-                for a, b, all_ in zip((i + s).tolist(), j.tolist(), within.tolist()):
-                    if all_:
-                        self._bulk(left[a], right[b])
-                    else:
-                        todo.append((left[a], right[b]))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -198,7 +219,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.93, block: int =
     step = max(block, -(-total // MAX_CENTRES))
     space = lambda label, width: f"{width}:{label}"  # noqa: E731  vectors of other lengths are in another space
     centres: dict[str, list] = {}
-    for label, v in classes.filter(F.pmod(F.xxhash64("cid", F.lit(17)), F.lit(step)) == 0).select("label", "vector").orderBy("cid").toLocalIterator():
+    for label, v in classes.filter(F.pmod(F.xxhash64("cid", F.lit(17)), F.lit(step)) == 0).select("label", "vector").orderBy("cid").collect():
         centres.setdefault(space(label, len(v)), []).append(v)
     sites = spark.sparkContext.broadcast({k: _unit(np.array(v)) for k, v in centres.items()})
     chord = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
@@ -224,7 +245,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.93, block: int =
     sizes = stored(placed.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "vector-cells")
     # Cells that have a centre: at most MAX_CENTRES, whatever the input, but for the sample's chance.
     of_space: dict[str, dict[int, tuple[int, float]]] = {}
-    for name, cell, blocks, far in sizes.filter("cell >= 0").select("space", "cell", "blocks", "far").toLocalIterator():
+    for name, cell, blocks, far in sizes.filter("cell >= 0").select("space", "cell", "blocks", "far").collect():
         of_space.setdefault(name, {})[cell] = blocks, far
     balls = spark.sparkContext.broadcast(of_space)
 
@@ -267,8 +288,8 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.93, block: int =
             count, forest = tile_links(vectors, table.column("n").to_numpy(), table.column("side").to_numpy(), threshold)
             has = np.flatnonzero(count)
             yield pa.record_batch([pa.array(cid[has]), pa.array(count[has]), pa.nulls(len(has), pa.int64()), pa.nulls(len(has), pa.int64())], names=["cid", "links", "a", "b"])
-            if forest:
-                a, b = (rep[list(x)] for x in zip(*forest))
+            if stars := as_stars([(int(rep[i]), int(rep[j])) for i, j in forest]):
+                a, b = (np.array(x) for x in zip(*stars))
                 yield pa.record_batch([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["cid", "links", "a", "b"])
 
         for batch in batches:
