@@ -188,7 +188,7 @@ def clean_anti_join(s):
 @query
 def schema_drift(s):
     found = detect_schema_drift(s.table("orders").schema, {"columns": [{"name": "o_orderkey", "type": "long"}, {"name": "o_totalprice", "type": "string"}, {"name": "o_note", "type": "string"}]})
-    return s.spark.createDataFrame([(i, f) for i, f in enumerate(found)], "position int, finding string")
+    return s.spark.createDataFrame([(i, f) for i, f in enumerate(found)], "position bigint, finding string")
 
 
 # Duplicates and windows
