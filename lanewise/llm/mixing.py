@@ -68,9 +68,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     table = rates(docs, weights, total)
     row = docs.select(F.struct("*").alias("doc"), F.col("source").alias("of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
     drawn = row.join(table, F.col("of").eqNullSafe(F.col("source")))
-    one = lambda j: F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(str(seed)), F.col("id"), j.cast("string"))))
-    times = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda acc, j: acc + one(j))
-    copies = drawn.withColumn("times", times).filter("times > 0").select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    # The uniform numbers are a column of their own, so that each is made once and not for every entry of the table.
+    draws = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: _uniform(F.lit(str(seed)), F.col("id"), j.cast("string")))
+    times = F.aggregate("uniforms", F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
+    copies = drawn.withColumn("uniforms", draws).withColumn("times", times).filter("times > 0").select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.col("id"), F.col("copy").cast("string")))
     dealt = copies.select("doc", "copy", key.alias("order_key")).repartition("order_key").sortWithinPartitions("order_key")
     return dealt.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), F.col("copy").alias(copy), F.col("order_key").alias(order))
