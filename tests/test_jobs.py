@@ -133,3 +133,10 @@ def test_sample_day(spark, tmp_path):
     assert (lane["on_time_delivery_rate"], lane["first_attempt_success_rate"], lane["delivery_event_density"]) == (1.0, 1.0, 4.0)
     assert abs(lane["avg_cost_per_mile"] - 415 / 437.8) < 1e-9
     assert read("dim_carrier").count() == 6
+
+
+def test_api_names_resolve():
+    from lanewise import api
+
+    assert {"run_daily_batch", "run_quality_rules", "build_kpi_delivery_daily", "read_shipments_raw", "write_partitioned_table"} <= set(api.__all__)
+    assert all(callable(getattr(api, n)) for n in api.__all__)
