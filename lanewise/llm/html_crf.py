@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .html_blocks import Block, leaf_blocks
 from .html_pages import labelled_pages
+from .shared import for_python
 
 FEATURES = 1 << 14
-PAGES, EPOCHS, SEED = 1000, 90, 5
+PAGES, EPOCHS, SEED = 1500, 120, 5
 _KEYWORDS = re.compile(
     r"\b(cookies?|consent|privacy|accept|subscribe|newsletter|sign ?(?:up|in)|log ?(?:in|out)|register|advert\w*|sponsor\w*|promo\w*|copyright|all rights|share|tweet|comments?|repl(?:y|ies)|said|read more|related|next|previous|home|menu|search|contact|terms|tags?|posted|"
     r"anzeige|werbung|kommentare?|datenschutz|impressum|publicité|commentaires?|abonne\w*|partager|publicidad|comentarios?|compartir|suscr\w*)\b|©",
@@ -144,7 +145,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS)
         one = np.where(live, np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]), 0)
         both = np.exp(alpha[:, :-1, :, None] + steps + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * seen[:, :, None, None]
         slip = (one - y * live).ravel()
-        grads = [np.bincount(slots, slip[owner], FEATURES) / b + 2e-4 * w, (both.sum(axis=(0, 1)) - pairs) / b + 2e-4 * steps, (np.exp(alpha[:, 0] + beta[:, 0] - total[:, None]).sum(axis=0) - starts) / b]
+        grads = [np.bincount(slots, slip[owner], FEATURES) / b + 1e-4 * w, (both.sum(axis=(0, 1)) - pairs) / b + 2e-4 * steps, (np.exp(alpha[:, 0] + beta[:, 0] - total[:, None]).sum(axis=0) - starts) / b]
         for p, g, m, v in zip(params, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -177,5 +178,5 @@ def extract_main(pages: DataFrame, model: Crf | None = None) -> DataFrame:
             texts = [main_text(h.as_py(), model) for h in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = for_python(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -172,7 +172,7 @@ def _body(w: _Writer) -> str:
         text = w.prose(1, 7) if rng.random() < 0.85 else rng.choice([w.sentence(), w.few(1, 6), w.numbered()])
         if rng.random() < 0.04:  # an article may use the words that mark what surrounds articles
             text += " " + rng.choice("Copyright Terms Privacy Comments Share Contact Home Search Register Sponsors Tags Posted".split()) + " " + w.sentence()
-        if roll < 0.7:
+        if roll < 0.62:
             kind = rng.random()
             if kind < 0.7:
                 out.append(f"<p>{w.keep(text)}</p>")
@@ -186,21 +186,21 @@ def _body(w: _Writer) -> str:
                 out[-1] += "</p>" if rng.random() < 0.3 else "<p></p>"
             else:
                 out.append(f"<div>{w.keep(text)}</div>")
-        elif roll < 0.78:
+        elif roll < 0.7:
             out.append(f"<h2>{w.keep(w.title())}</h2>")
-        elif roll < 0.86:
+        elif roll < 0.78:
             tag = rng.choice(["ul", "ol"])
             out.append(f"<{tag}>" + "".join(f"<li>{w.keep(rng.choice([w.few(1, 8), w.sentence()]))}</li>" for _ in range(rng.randint(2, 6))) + f"</{tag}>")
-        elif roll < 0.91:
+        elif roll < 0.83:
             out.append(f"<blockquote><p>{w.keep(text)}</p></blockquote>" if rng.random() < 0.5 else f"<blockquote>{w.keep(text)}</blockquote>")
-        elif roll < 0.94:
+        elif roll < 0.86:
             out.append("<table>" + "".join("<tr>" + "".join(f"<td>{w.keep(w.few(1, 3))}</td>" for _ in range(2)) + "</tr>" for _ in range(rng.randint(2, 4))) + "</table>")
-        elif roll < 0.96:
+        elif roll < 0.88:
             out.append(f"<pre>{w.keep(w.few(3, 20))}</pre>")
-        elif roll < 0.97:
+        elif roll < 0.9:
             out.append(f"<figure><img src=x.png><figcaption>{w.keep(w.sentence())}</figcaption></figure>")
         else:
-            out.append(rng.choice([_advert, _advert, _form, _aside, _notice])(w))
+            out.append(rng.choice([_advert, _advert, _form, _aside, _notice, _menu])(w))
     return "".join(out)
 
 
