@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import as_stars, components
-from .shared import stored
+from .shared import for_python, stored
 
 BLOCK = 8192
 MAX_CENTRES = 4096
@@ -211,7 +211,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.93, block: int =
     """Per row of ``embeddings`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
     vector = F.transform(F.col("embedding"), lambda v: v.cast("double") + F.lit(0.0))
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), vector.alias("vector"))
+    rows = for_python(embeddings).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), vector.alias("vector"))
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists("vector", lambda v: v != 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = rows.withColumn("cid", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "vector")))
     classes = stored(rows.filter("cid is not null").groupBy("cid", "label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import small_batches
+from .shared import for_python
 
 ROWS, DIM, NONZERO, WINDOW = 1 << 16, 32, 4, 2
 SAMPLE = 8_000
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Fit on at most ``sample`` rows of ``labels`` (doc_id, ``label``) that are not held out, and their texts in ``docs``."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     some = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)
-    texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +213,7 @@ def score_quality(docs: DataFrame, classifier: Classifier) -> DataFrame:
             score = shared.value.scores([t or b"" for t in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    scored = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    scored = for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -228,4 +228,4 @@ def quality_filter(docs: DataFrame, classifier: Classifier, least: float = 0.5)
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts) >= least))
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return for_python(docs).mapInArrow(run, schema)

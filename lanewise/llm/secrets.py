@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import for_python
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -122,7 +122,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t.as_py() or "")] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(spans, _SPANS)], names=["doc_id", "spans"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

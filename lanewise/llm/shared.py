@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +37,16 @@ BATCH_ROWS = 1000
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of this session held to BATCH_ROWS rows: whole texts travel in them, and some are long."""
+def for_python(df: DataFrame) -> DataFrame:
+    """``df``, its session made ready for functions of this package.
+
+    Arrow batches are held to BATCH_ROWS rows: whole texts travel in them, and some are long. Python
+    workers look for the package where the driver found it; a cluster without that folder gets it by ``--py-files``.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (environment.get("PYTHONPATH"), root)))
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCHES, "10000")) <= BATCH_ROWS:
         conf.set(_BATCHES, str(BATCH_ROWS))
