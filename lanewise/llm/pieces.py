@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import for_python
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 LONG = 64  # bytes
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -143,6 +145,7 @@ class Model:
         self.length = np.array([len(p) for p in out], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.blob = np.frombuffer(b"".join(out), np.uint8)
+        self.memory: dict[bytes, bytes] = {}  # of units; a worker keeps it from task to task
 
     def _ids(self, unit: bytes, at: list[int], ids: list[int]) -> bytes:
         """``at``: starts of the path's pieces and its end; ``ids``: a piece or -1 for an unknown character."""
@@ -228,17 +231,32 @@ class Model:
             better = score > best[rows, end]
             rows, end = rows[better], end[better]
             best[rows, end], back[rows, end], via[rows, end] = score[better], s, -1
-        out = []
-        for unit, n, b, v in zip(units, size.tolist(), back.tolist(), via.tolist()):
-            at, ids = [n], []
-            while at[-1]:
-                ids.append(v[at[-1]])
-                at.append(b[at[-1]])
-            out.append(self._ids(unit, at[::-1], ids[::-1]))
+        # All paths are walked back together; step k of a unit is its k-th piece from the end.
+        rows, at = np.arange(len(units)), size.astype(np.int64)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        odd = np.zeros(len(units), bool)  # has an unknown character
+        while len(rows):
+            ids = via[rows, at]
+            odd[rows[ids < 0]] = True
+            steps.append((rows, ids))
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        count = np.zeros(len(units), np.int64)
+        for rows, _ in steps:
+            count[rows] += 1
+        ends = np.cumsum(count)
+        flat = np.zeros(int(ends[-1]), np.int32)
+        for k, (rows, ids) in enumerate(steps):
+            flat[ends[rows] - 1 - k] = ids
+        data = flat.tobytes()
+        out = [data[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), count.tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.one(units[i])
         return out
 
-    def encode(self, texts: list[bytes], memory: dict[bytes, bytes]) -> list[bytes]:
-        """Ids of each text, as int32 bytes. ``memory`` holds units' ids between calls, at most REMEMBERED."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as int32 bytes. Units' ids are remembered between calls, about REMEMBERED of them."""
+        memory = self.memory
         units = [self.unit.findall((MARK if self.prefix and t else b"") + t.replace(b" ", MARK)) for t in texts]
         if len(memory) > REMEMBERED:
             memory.clear()
@@ -269,10 +287,9 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, bytes] = {}
         for batch in batches:
             for at, part in _parts(batch):
-                ids = model.value.encode(part, memory)
+                ids = model.value.encode(part)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.record_batch([batch.column(0).slice(at, len(part)), lists], names=["doc_id", "ids"])
@@ -281,7 +298,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def _parts(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
@@ -309,7 +326,7 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
             texts = [_readable(model.value.decode(flat[a:b])) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return for_python(encoded).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
 
 
 def _readable(text: bytes) -> str:
@@ -321,10 +338,9 @@ def round_trip(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, bytes] = {}
         for batch in batches:
             for at, part in _parts(batch):
-                ids = [np.frombuffer(x, np.int32) for x in model.value.encode(part, memory)]
+                ids = [np.frombuffer(x, np.int32) for x in model.value.encode(part)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 texts = [model.value.decode(x) for x in ids]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
