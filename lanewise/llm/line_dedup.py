@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import stored
+from .shared import for_python, stored
 
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -53,8 +53,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes | None]]:
 def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text (kept lines), n_lines, n_dropped."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    n_lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 1
+    rows = for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    n_lines = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
     n_segments = bloom.segments_for(n_lines)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +81,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             yield pa.record_batch([pa.array(ids, pa.int64()).filter(hit), pa.array(keys, pa.binary()).filter(hit)], names=["doc_id", "key"])
 
     suspects = stored(rows.mapInArrow(suspected, "doc_id bigint, key binary"), "line-suspects")
-    first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
-    drops = stored(suspects.join(first, "key").filter("doc_id > first").select("doc_id", "key").distinct(), "line-drops")
+    # Stored, so that the join below has plain exchanges and a hot key's rows can be split.
+    first = stored(suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first"), "line-first", light=True)
+    drops = stored(suspects.join(first, "key").filter("doc_id > first").select("doc_id", "key"), "line-drops", light=True)
     losers = spark.sparkContext.broadcast(bloom.of_column(drops, "doc_id", drops.count()))
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
