@@ -11,10 +11,12 @@ and is linked with nothing. Two documents are linked when 100 * |A & B| >= thres
    pre-aggregated minimum, one tie a row, no pairs). Alternating large-star and small-star turn the ties
    into clusters, which hold all pairs that share a bucket.
 3. Verify. A second pass makes sets and signatures of the clustered representatives only, which a
-   Bloom filter of bounded size picks out. A cluster is cut into cells of like set size and cells
-   into blocks of bounded size; a tile is one pair of blocks that can hold links. In a tile, pairs
-   pass the signatures' estimate first (MARGIN is six standard errors below the threshold) and are then confirmed on full sets, best first;
-   pairs that are already connected are skipped. A tile returns a spanning forest of its links.
+   Bloom filter of bounded size picks out. A cluster that fits is one tile. A larger one is dealt
+   twice at random into tiles of bounded size, which connects most of it at a cost in proportion to
+   its rows; only rows outside its main component then meet all others, by pairs of bounded blocks of
+   like set size, since pairs within the component are connected. In a tile, pairs pass the
+   signatures' estimate first (MARGIN is six standard errors below the threshold) and are then confirmed on
+   full sets; connected pairs are skipped. A tile returns its components, as stars.
 4. Components of the confirmed links, then of every row by its class.
 
 Banding misses a pair at similarity 0.8 with probability (1 - 0.8 ** 4) ** 30, below 2e-7. Shingles
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from . import bloom, textkit
 from .bloom import mix
-from .graph import components
-from .shared import stored
+from .graph import as_stars, components
+from .shared import for_python, stored
 
 BANDS, ROWS = 30, 4
 MARGIN = 0.2
@@ -121,20 +123,15 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.label[a], self.label[b]
-        self.label[self.label == max(x, y)] = min(x, y)
+    return for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def links_in_tile(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between rows of a tile; ``side`` 0 and 1 meet only each other, 2 meets all."""
+    """Spanning forest of the links between rows of a tile; ``side`` 0 and 1 meet only each other, 2 meets all.
+
+    Signatures screen the pairs. A row that has candidates it is not connected with gets its exact
+    intersections with all rows at once, from the rows listed under each of its shingles.
+    """
     size = np.array([len(s) for s in sets])
     m = len(sets)
     agree = np.zeros((m, m), np.uint8)
@@ -144,43 +141,87 @@ def links_in_tile(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarr
     may &= 100 * np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
     if (side != 2).any():
         may &= side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu(may, 1))
-    order = np.argsort(-agree[a, b].astype(np.int16), kind="stable")
-    a, b = a[order], b[order]
-    forest, found = _Forest(m), []
-    step = 64
-    while len(a):
-        open_ = forest.label[a] != forest.label[b]
-        a, b = a[open_], b[open_]
-        for i, j in zip(a[:step].tolist(), b[:step].tolist()):
-            if forest.label[i] == forest.label[j]:
-                continue
-            both = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
-            if 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
-                forest.join(i, j)
-                found.append((i, j))
-        a, b = a[step:], b[step:]
-        step = min(4096, step * 2)
+    np.fill_diagonal(may, False)
+    if not may.any():
+        return []
+    row = np.repeat(np.arange(m), size)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    listed = row[np.argsort(shingle, kind="stable")]
+    ends = np.cumsum(np.bincount(shingle))
+    cuts = np.cumsum(size)
+    label, found = np.arange(m), []
+    for i in np.flatnonzero(may.any(axis=1)).tolist():
+        js = np.flatnonzero(may[i])
+        js = js[label[js] != label[i]]
+        if not len(js):
+            continue
+        own = shingle[cuts[i] - size[i] : cuts[i]]
+        first = np.where(own > 0, ends[own - 1], 0)
+        n = ends[own] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(listed[at], minlength=m)[js]
+        js = js[100 * both >= threshold * (size[i] + size[js] - both)]
+        for other, j in zip(*(x.tolist() for x in np.unique(label[js], return_index=True))):
+            label[label == other] = label[i]
+            found.append((i, int(js[j])))
     return found
 
 
-def _tiles(members: DataFrame, threshold: int) -> DataFrame:
-    """Rows of ``members`` (cluster, rep, n, ...) repeated for each tile they are in, with tile and side."""
-    sized = members.withColumn("cell", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold / 100 - 0.001))).cast("int"))
-    total = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("small", (F.col("m") <= BLOCK_ROWS) & (F.col("s") <= BLOCK_SHINGLES)).select("cluster", "small")
-    sized = sized.join(total, "cluster").withColumn("cell", F.when(F.col("small"), F.lit(-1)).otherwise(F.col("cell"))).drop("small")
-    cells = sized.groupBy("cluster", "cell").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    cells = stored(cells.withColumn("blocks", F.when(F.col("cell") < 0, 1).otherwise(F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES))).cast("int")), "cells")
-    after = cells.select("cluster", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("after"))
-    before = cells.filter("cell >= 0").select("cluster", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("before"))
-    cells = cells.join(after.filter("cell >= 0"), ["cluster", "cell"], "left").join(before, ["cluster", "cell"], "left").select("cluster", "cell", "blocks", "m", "after", "before")
-    rows = sized.join(cells, ["cluster", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct((F.col("cell") * 2).alias("pair"), F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"), F.when(x == F.col("block"), 2).when(F.col("block") < x, 0).otherwise(1).alias("side")))
-    upward = F.transform(F.sequence(F.lit(0), F.col("after") - 1), lambda x: F.struct((F.col("cell") * 2 + 1).alias("pair"), F.col("block").alias("i"), x.alias("j"), F.lit(0).alias("side")))
-    downward = F.transform(F.sequence(F.lit(0), F.col("before") - 1), lambda x: F.struct((F.col("cell") * 2 - 1).alias("pair"), x.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
-    none = F.array().cast("array<struct<pair:int,i:int,j:int,side:int>>")
-    all_tiles = F.concat(F.when(F.col("m") > 1, own).otherwise(none), F.coalesce(upward, none), F.coalesce(downward, none))
-    return rows.select("cluster", "rep", "n", "set", "signature", F.explode(all_tiles).alias("t")).select(F.xxhash64("cluster", "t.pair", "t.i", "t.j").alias("tile"), F.col("t.side").alias("side"), "rep", "set", "signature")
+_ROW = ("rep", "set", "signature")
+
+
+def _first_tiles(members: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each small cluster in a tile of its own; each row of a large one in two tiles, one of each of two random dealings."""
+    sized = members.join(totals, "cluster")
+    dealt = lambda k: F.pmod(F.xxhash64("rep", F.lit(k)), F.col("blocks"))
+    tiles = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(dealt(1), F.col("blocks") + dealt(2)))
+    return sized.select(F.explode(tiles).alias("i"), "cluster", *_ROW).select(F.xxhash64("cluster", "i").alias("tile"), F.lit(2).alias("side"), *_ROW)
+
+
+def _rest_tiles(large: DataFrame, threshold: int) -> DataFrame:
+    """Tiles for what the first left open in large clusters (``large`` has the component found so far).
+
+    Pairs inside a cluster's main component, that of most rows, are connected already. The rows outside
+    it (side 0) meet all rows (side 1) of their own and the next cells of set size, by blocks of both.
+    Every sum is over a stored table, so that it is pre-aggregated whatever the join before it was.
+    """
+    large = stored(large, "large-clusters")
+    counts = large.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = stored(counts.groupBy("cluster").agg(F.max(F.struct("m", -F.col("component"))).alias("top")).select("cluster", (-F.col("top.col2")).alias("main")), "mains", light=True)
+    cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold / 100 - 0.001))).cast("int")
+    rows = stored(large.join(main, "cluster").withColumn("outside", F.col("component") != F.col("main")).withColumn("cell", cell).drop("component", "main"), "large-rows")
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES))
+    out = F.col("outside")
+    cells = stored(
+        rows.groupBy("cluster", "cell").agg(
+            blocks(F.sum(F.when(out, 1).otherwise(0)), F.sum(F.when(out, F.col("n")).otherwise(0))).cast("int").alias("few"), blocks(F.count(F.lit(1)), F.sum("n")).cast("int").alias("all")
+        ),
+        "cells",
+        light=True,
+    )
+    near = cells.select("cluster", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("cell"), F.struct(F.col("cell").alias("of"), "few", "all").alias("next"))
+    near = stored(near.groupBy("cluster", "cell").agg(F.collect_list("next").alias("next")), "next-cells", light=True)
+    own = cells.withColumnsRenamed({"few": "own_few", "all": "own_all"})
+    rows = rows.join(own, ["cluster", "cell"]).join(near, ["cluster", "cell"])
+    block = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
+    made = F.struct
+
+    def tiles(side: int):
+        """For side 0 a tile for each block of all rows nearby, for side 1 one for each block of outside rows nearby."""
+
+        def of(x):
+            many = F.sequence(F.lit(0), (x["all"] if side == 0 else x["few"]) - 1)
+            if side == 0:
+                one = lambda y: made(F.col("cell").alias("a"), block(F.col("own_few")).alias("i"), x["of"].alias("b"), y.alias("j"))
+            else:
+                one = lambda y: made(x["of"].alias("a"), y.alias("i"), F.col("cell").alias("b"), block(F.col("own_all")).alias("j"))
+            return F.transform(many, one)
+
+        return F.flatten(F.transform(F.filter("next", lambda x: (x["all"] if side == 0 else x["few"]) > 0), of))
+
+    each = [rows.filter("outside"), rows]
+    parts = [each[k].select("cluster", *_ROW, F.explode(tiles(k)).alias("t"), F.lit(k).alias("side")) for k in (0, 1)]
+    return parts[0].unionAll(parts[1]).select(F.xxhash64("cluster", "t.a", "t.i", "t.b", "t.j").alias("tile"), "side", *_ROW)
 
 
 def _verify(threshold: int):
@@ -193,7 +234,8 @@ def _verify(threshold: int):
             sets = [np.frombuffer(s, np.uint64) for _, _, s, _ in held]
             low = np.stack([np.frombuffer(s, np.uint32) for _, _, _, s in held])
             got = links_in_tile(np.array([s for s, *_ in held]), sets, low, threshold)
-            return pa.record_batch([pa.array([held[i][1] for i, _ in got], pa.int64()), pa.array([held[j][1] for _, j in got], pa.int64())], names=["a", "b"])
+            stars = as_stars([(held[i][1], held[j][1]) for i, j in got])
+            return pa.record_batch([pa.array([a for a, _ in stars], pa.int64()), pa.array([b for _, b in stars], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -208,6 +250,11 @@ def _verify(threshold: int):
     return run
 
 
+def _links(tiles: DataFrame, threshold: int) -> DataFrame:
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(threshold), "a bigint, b bigint"), "links", light=True)
+
+
 def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -215,9 +262,9 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataF
     named = signed.filter("d1 is not null and doc_id is not null")
     classes = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
     bands = classes.select("rep", F.explode("bands").alias("key"))
-    pivots = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").select("key", "pivot")
+    pivots = stored(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").select("key", "pivot"), "pivots", light=True)
     ties = bands.join(pivots, "key").filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    clusters = stored(components(ties).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
+    clusters = stored(components(ties).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters", light=True)
     picked = spark.sparkContext.broadcast(bloom.of_column(clusters, "rep", clusters.count()))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +284,14 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataF
     found = _rows(docs).mapInArrow(full_sets, "rep bigint, d1 bigint, d2 bigint, n bigint, set binary, signature binary")
     keys = clusters.join(classes.select("rep", "d1", "d2"), "rep")
     members = stored(found.join(keys, ["rep", "d1", "d2"]).select("cluster", "rep", "n", "set", "signature"), "members")
-    tiles = _tiles(members, threshold)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = stored(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(threshold), "a bigint, b bigint"), "links")
-    linked = components(links)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint")
+    totals = stored(members.groupBy("cluster").agg(blocks.alias("blocks")), "totals", light=True)
+    linked = components(_links(_first_tiles(members, totals), threshold))
+    if not totals.filter("blocks > 1").isEmpty():
+        linked = stored(linked, "first-components", light=True).withColumnsRenamed({"node": "rep"})
+        large = members.join(totals.filter("blocks > 1"), "cluster").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rest = _links(_rest_tiles(large, threshold), threshold)
+        linked = components(rest.unionAll(linked.select("rep", "component")))
     by_class = classes.select("d1", "d2", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
