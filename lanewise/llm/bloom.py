@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import for_python, stored
 
 SEGMENT = 1 << 16
 CEILING = 1 << 28  # bits: 32 MB, whatever the input
@@ -119,25 +119,44 @@ def of_column(df: DataFrame, column: str, n_keys: int) -> Filter:
 def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows of ``docs``, whole, whose ``keys`` (null-safe) are not among the rows of ``dropped``, which has columns of those names.
 
-    Rows that the filter clears pass where they are read; only the others meet ``dropped`` in a join.
+    Rows that a filter of the dropped keys clears pass where they are read. Of the others, only keys are compared first:
+    those that the filter took wrongly are few, and get a filter of their own, so that dropped rows are
+    discarded where they are read and hardly any whole row meets a join.
     """
-    spark = docs.sparkSession
-    dropped = stored(dropped.select(*keys).distinct(), "dropped")
-    hashed = dropped.select(F.xxhash64(*keys).alias("h"))
-    seen = spark.sparkContext.broadcast(of_column(hashed, "h", dropped.count()))
-    packed = small_batches(docs).select(F.xxhash64(*keys.values()).alias("h"), F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
-
-    def part(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(seen.value.maybe(batch.column(0).to_numpy().astype(np.int64)) == wanted))
-
-        return run
-
-    clear = packed.mapInArrow(part(False), packed.schema)
-    unsure = packed.mapInArrow(part(True), packed.schema)
-    same = [F.col(f"key.{n}").eqNullSafe(dropped[n]) for n in keys]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return clear.select("doc.*").unionAll(unsure.join(dropped, on, "left_anti").select("doc.*"))
+    names = list(keys)
+    dropped = stored(dropped.select(*names).distinct(), "dropped", light=True)
+    own = F.xxhash64(*keys.values()).alias("h")
+    seen = _shared_filter(dropped.select(F.xxhash64(*names).alias("h")))
+    light = for_python(docs).select(own, F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
+    taken = light.mapInArrow(_part(seen, True), light.schema).select("key.*")
+    wrongly = stored(taken.join(dropped, _same(taken, dropped, names), "left_anti").distinct(), "wrongly", light=True)
+    again = _shared_filter(wrongly.select(F.xxhash64(*names).alias("h")))
+    packed = docs.select(own, F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
+    clear = packed.mapInArrow(_part(seen, False), packed.schema)
+    unsure = packed.mapInArrow(_part(seen, True, again), packed.schema).select("doc", "key.*")
+    return clear.select("doc.*").unionAll(unsure.join(wrongly, _same(unsure, wrongly, names), "left_semi").select("doc.*"))
+
+
+def _shared_filter(hashes: DataFrame):
+    return hashes.sparkSession.sparkContext.broadcast(of_column(hashes, "h", hashes.count()))
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & left[n].eqNullSafe(right[n])
+    return out
+
+
+def _part(first, wanted: bool, second=None):
+    """Keep the rows whose hash, in column 0, is ``wanted`` in the first filter, and in the second if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(np.int64)
+            keep = first.value.maybe(h) == wanted
+            if second is not None:
+                keep &= second.value.maybe(h)
+            yield batch.filter(pa.array(keep))
+
+    return run

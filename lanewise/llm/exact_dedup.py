@@ -10,7 +10,7 @@ Four steps, each skew-safe:
 2. Directory. Key counts by prefix (at most 2**PREFIX_BITS rows) are pre-aggregated on the
    executors; the driver doubles the directory until no bucket is overfull or the prefix ends.
 3. Owner tasks. Keys found once enter the index as they are. Texts of repeated keys are fetched
-   by a Bloom filter of bounded size, combined in each map task, and sent to the task that owns
+   by a Bloom filter of bounded size, combined in each map task (a hot text is one row a task), and sent to the task that owns
    the bucket's key range. The owner chains texts of one key and compares bytes; each distinct
    text gets a slot. Owners hold one key's chain at a time. The index is a table in the shared folder.
 4. Look-up. The light rows join the index by key and digest; both sides are small per row and
@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import small_batches, stored
+from .shared import for_python, stored
 
 PREFIX_BITS = 16
 BUCKET_ROWS = 1 << 16
+HELD_BYTES = 16 << 20
 ENTRY = "bucket int, key bigint, slot int, sha binary, n_bytes bigint, keep_id bigint, group_size bigint"
 
 
@@ -88,9 +89,9 @@ def build_index(docs: DataFrame, key_of=hash_key, bucket_rows: int = BUCKET_ROWS
     """(light rows: doc_id, key, sha; index: ENTRY). ``key_of`` maps the text column to a bigint key."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", key_of(F.col("text")))
+    rows = for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", key_of(F.col("text")))
     light = stored(rows.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("bigint").alias("n_bytes")), "exact-rows")
-    keys = stored(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.min("sha").alias("sha"), F.max("n_bytes").alias("n_bytes")), "exact-keys")
+    keys = stored(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.min("sha").alias("sha"), F.max("n_bytes").alias("n_bytes")), "exact-keys", light=True)
     counts = np.zeros(1 << PREFIX_BITS, np.int64)
     for prefix, n in keys.groupBy(F.shiftrightunsigned("key", 64 - PREFIX_BITS).alias("p")).agg(F.count(F.lit(1))).collect():
         counts[prefix] = n
@@ -100,23 +101,32 @@ def build_index(docs: DataFrame, key_of=hash_key, bucket_rows: int = BUCKET_ROWS
     suspects = spark.sparkContext.broadcast(bloom.of_column(repeated, "key", repeated.count()))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of suspected keys, one for each distinct text in the batch."""
+        """Rows of suspected keys, one for each distinct text that a task holds; it holds HELD_BYTES of them at most."""
+        held: dict[tuple[int, str], list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            k = np.array([k for k, _ in held], np.int64)
+            return pa.record_batch(
+                [pa.array(directory.value[_prefix(k)], pa.int32()), pa.array(k), pa.array([t.encode() for _, t in held], pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())],
+                names=["bucket", "key", "text", "doc_id", "n"],
+            )
+
         for batch in batches:
             key = batch.column(2).to_numpy().astype(np.int64)
-            held: dict[tuple[int, str], list] = {}
             for i in np.flatnonzero(suspects.value.maybe(key)).tolist():
                 doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if (seen := held.get((key[i], text))) is None:
                     held[key[i], text] = [doc, 1]
+                    size += len(text)
                 else:
                     seen[1] += 1
                     seen[0] = doc if seen[0] is None else seen[0] if doc is None else max(seen[0], doc)
-            if held:
-                k = np.array([k for k, _ in held], np.int64)
-                yield pa.record_batch(
-                    [pa.array(directory.value[_prefix(k)], pa.int32()), pa.array(k), pa.array([t.encode() for _, t in held], pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())],
-                    names=["bucket", "key", "text", "doc_id", "n"],
-                )
+                if size > HELD_BYTES:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains of one key at a time; rows arrive sorted by key."""
