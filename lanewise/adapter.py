@@ -87,7 +87,8 @@ class Source:
         )
 
     def checked(self, contract: Contract, frame: DataFrame) -> DataFrame:
-        shadows = {f"__raw_{c.name}": F.col(c.name).cast("string") for c in contract.columns if c.kind != "string"}
+        # The tables are typed: a value that is there was read well, so it stands for its own text.
+        shadows = {f"__raw_{c.name}": F.col(c.name) for c in contract.columns if c.kind != "string"}
         return checked(frame.withColumns(shadows), contract)
 
     def valid(self, contract: Contract, frame: DataFrame) -> DataFrame:

@@ -80,9 +80,20 @@ def lookup(words: dict[str, tuple[str, ...]], token: Column) -> Column:
     return F.coalesce(table[token], token)
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CONTROLS = "".join(map(chr, (*range(0x20), 0x7F)))
+_SPACES = "\t\n\x0b\f\r"
+
+
 def token(text: Column) -> Column:
-    """Upper case, with everything but letters and digits as single underscores."""
-    return F.regexp_replace(F.upper(F.trim(text.cast("string"))), "[^A-Z0-9]+", "_")
+    """Upper case, with everything but letters and digits as single underscores. Clean texts, most of them, meet no pattern."""
+    upper = F.upper(F.trim(text.cast("string")))
+    clean = F.translate(upper, _LETTERS + "0123456789", "") == ""
+    return F.when(clean, upper).otherwise(F.regexp_replace(upper, "[^A-Z0-9]+", "_"))
+
+
+def _single_spaces(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text)
 
 
 def region_code(text: Column) -> Column:
@@ -95,17 +106,19 @@ def status_code(text: Column) -> Column:
 
 def state_code(text: Column) -> Column:
     """Two letters, or null."""
-    letters = F.regexp_replace(F.upper(F.trim(text)), "[^A-Z]", "")
-    return F.when(F.length(letters) == 2, letters)
+    upper = F.upper(F.trim(text))
+    letters = F.regexp_replace(upper, "[^A-Z]", "")
+    two = (F.length(upper) == 2) & (F.translate(upper, _LETTERS, "") == "")
+    return F.when(two, upper).when(F.length(letters) == 2, letters)
 
 
 def clean_text(text: Column) -> Column:
     """Control characters and runs of white space as one space, no spaces around, blank as null."""
-    return filled(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " "), r"\s+", " "))
+    return filled(_single_spaces(F.translate(text, _CONTROLS, " " * len(_CONTROLS))))
 
 
 def carrier_name(text: Column) -> Column:
-    return filled(F.regexp_replace(F.trim(text), r"\s+", " "))
+    return filled(_single_spaces(F.translate(F.trim(text), _SPACES, " " * len(_SPACES))))
 
 
 def seconds_between(start: Column, end: Column) -> Column:
