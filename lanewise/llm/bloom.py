@@ -124,12 +124,12 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
     discarded where they are read and hardly any whole row meets a join.
     """
     names = list(keys)
-    dropped = stored(dropped.select(*names).distinct(), "dropped", light=True)
+    dropped = stored(dropped.select(*names).distinct(), "dropped", files_a_core=4)
     own = F.xxhash64(*keys.values()).alias("h")
     seen = _shared_filter(dropped.select(F.xxhash64(*names).alias("h")))
     light = for_python(docs).select(own, F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
     taken = light.mapInArrow(_part(seen, True), light.schema).select("key.*")
-    wrongly = stored(taken.join(dropped, _same(taken, dropped, names), "left_anti").distinct(), "wrongly", light=True)
+    wrongly = stored(taken.join(dropped, _same(taken, dropped, names), "left_anti").distinct(), "wrongly", files_a_core=1)
     again = _shared_filter(wrongly.select(F.xxhash64(*names).alias("h")))
     packed = docs.select(own, F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
     clear = packed.mapInArrow(_part(seen, False), packed.schema)

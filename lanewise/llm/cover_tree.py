@@ -242,7 +242,7 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.93, block: int =
                 yield pa.record_batch([part.column(0), part.column(1), part.column(2), part.column(3), part.column(4), pa.array([name] * len(at)), pa.array(cell.astype(np.int32)), pa.array(far)], names=["cid", "label", "vector", "rep", "n", "space", "cell", "far"])
 
     placed = stored(classes.mapInArrow(assign, "cid bigint, label string, vector array<double>, rep bigint, n bigint, space string, cell int, far double"), "placed")
-    sizes = stored(placed.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "vector-cells", light=True)
+    sizes = stored(placed.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "vector-cells", files_a_core=1)
     # Cells that have a centre: at most MAX_CENTRES, whatever the input, but for the sample's chance.
     of_space: dict[str, dict[int, tuple[int, float]]] = {}
     for name, cell, blocks, far in sizes.filter("cell >= 0").select("space", "cell", "blocks", "far").collect():
@@ -306,10 +306,10 @@ def embedding_dedup(embeddings: DataFrame, threshold: float = 0.93, block: int =
 
     tiled = placed.join(sizes.select("space", "cell", "blocks"), ["space", "cell"]).select("cid", "label", "vector", "rep", "n", "cell", "blocks").mapInArrow(spread, _TILE)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    solved = stored(tiled.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(solve, _OUT), "vector-links", light=True)
+    solved = stored(tiled.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(solve, _OUT), "vector-links", files_a_core=4)
     counts = solved.filter("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(solved.filter("a is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "c"})
-    by_class = stored(classes.select("cid", "rep", "n").join(counts, "cid", "left").join(linked, "rep", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("c", "rep").alias("c")), "vector-classes", light=True)
+    by_class = stored(classes.select("cid", "rep", "n").join(counts, "cid", "left").join(linked, "rep", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("c", "rep").alias("c")), "vector-classes", files_a_core=4)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id"))
     out = rows.select("vec_id", "cid").join(by_class, "cid", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

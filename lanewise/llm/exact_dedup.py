@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, key_of=hash_key, bucket_rows: int = BUCKET_ROWS
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", key_of(F.col("text")))
     light = stored(rows.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("bigint").alias("n_bytes")), "exact-rows")
-    keys = stored(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.min("sha").alias("sha"), F.max("n_bytes").alias("n_bytes")), "exact-keys", light=True)
+    keys = stored(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.min("sha").alias("sha"), F.max("n_bytes").alias("n_bytes")), "exact-keys", files_a_core=4)
     counts = np.zeros(1 << PREFIX_BITS, np.int64)
     for prefix, n in keys.groupBy(F.shiftrightunsigned("key", 64 - PREFIX_BITS).alias("p")).agg(F.count(F.lit(1))).collect():
         counts[prefix] = n
@@ -171,7 +171,7 @@ def build_index(docs: DataFrame, key_of=hash_key, bucket_rows: int = BUCKET_ROWS
     chained = rows.mapInArrow(combine, "bucket int, key bigint, text binary, doc_id bigint, n bigint").repartition(parts, "bucket", F.shiftrightunsigned("key", 56)).sortWithinPartitions("bucket", "key").mapInArrow(own, ENTRY)
     # A key outside the filter is in no chain; a key found once that the filter lets through is.
     alone = keys.select("key", "sha", "n_bytes", "doc_id").mapInArrow(place, ENTRY)
-    return light, stored(chained.unionAll(alone), "exact-index")
+    return light, stored(chained.unionAll(alone), "exact-index", files_a_core=4)
 
 
 def _entries(rows: list[tuple]) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ def _star(directed: DataFrame) -> DataFrame:
     The minimum is pre-aggregated, so a hub costs one row a task, and stored, so that both sides of
     the join are plain exchanges and adaptive execution can split a hub's partition.
     """
-    least = stored(directed.groupBy("u").agg(F.min("v").alias("m")), "least", light=True)
+    least = stored(directed.groupBy("u").agg(F.min("v").alias("m")), "least", files_a_core=4)
     return directed.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
@@ -59,11 +59,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nulls and self-links count for nothing. Every round is a written table, so a lost executor costs one round at most.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", light=True)
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", files_a_core=4)
     while not _are_stars(now):
-        large = stored(_large(now), "large", light=True)
+        large = stored(_large(now), "large", files_a_core=4)
         drop(now)
-        now = stored(_small(large), "edges", light=True)
+        now = stored(_small(large), "edges", files_a_core=4)
         drop(large)
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionAll(out.select(F.col("component").alias("node"), "component").distinct())

@@ -82,8 +82,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     suspects = stored(rows.mapInArrow(suspected, "doc_id bigint, key binary"), "line-suspects")
     # Stored, so that the join below has plain exchanges and a hot key's rows can be split.
-    first = stored(suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first"), "line-first", light=True)
-    drops = stored(suspects.join(first, "key").filter("doc_id > first").select("doc_id", "key"), "line-drops", light=True)
+    first = stored(suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first"), "line-first", files_a_core=4)
+    drops = stored(suspects.join(first, "key").filter("doc_id > first").select("doc_id", "key"), "line-drops", files_a_core=4)
     losers = spark.sparkContext.broadcast(bloom.of_column(drops, "doc_id", drops.count()))
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

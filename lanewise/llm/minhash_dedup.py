@@ -185,11 +185,11 @@ def _rest_tiles(large: DataFrame, threshold: int) -> DataFrame:
     it (side 0) meet all rows (side 1) of their own and the next cells of set size, by blocks of both.
     Every sum is over a stored table, so that it is pre-aggregated whatever the join before it was.
     """
-    large = stored(large, "large-clusters")
+    large = stored(large, "large-clusters", files_a_core=4)
     counts = large.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = stored(counts.groupBy("cluster").agg(F.max(F.struct("m", -F.col("component"))).alias("top")).select("cluster", (-F.col("top.col2")).alias("main")), "mains", light=True)
+    main = stored(counts.groupBy("cluster").agg(F.max(F.struct("m", -F.col("component"))).alias("top")).select("cluster", (-F.col("top.col2")).alias("main")), "mains", files_a_core=1)
     cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold / 100 - 0.001))).cast("int")
-    rows = stored(large.join(main, "cluster").withColumn("outside", F.col("component") != F.col("main")).withColumn("cell", cell).drop("component", "main"), "large-rows")
+    rows = stored(large.join(main, "cluster").withColumn("outside", F.col("component") != F.col("main")).withColumn("cell", cell).drop("component", "main"), "large-rows", files_a_core=4)
     blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES))
     out = F.col("outside")
     cells = stored(
@@ -197,10 +197,10 @@ def _rest_tiles(large: DataFrame, threshold: int) -> DataFrame:
             blocks(F.sum(F.when(out, 1).otherwise(0)), F.sum(F.when(out, F.col("n")).otherwise(0))).cast("int").alias("few"), blocks(F.count(F.lit(1)), F.sum("n")).cast("int").alias("all")
         ),
         "cells",
-        light=True,
+        files_a_core=1,
     )
     near = cells.select("cluster", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("cell"), F.struct(F.col("cell").alias("of"), "few", "all").alias("next"))
-    near = stored(near.groupBy("cluster", "cell").agg(F.collect_list("next").alias("next")), "next-cells", light=True)
+    near = stored(near.groupBy("cluster", "cell").agg(F.collect_list("next").alias("next")), "next-cells", files_a_core=1)
     own = cells.withColumnsRenamed({"few": "own_few", "all": "own_all"})
     rows = rows.join(own, ["cluster", "cell"]).join(near, ["cluster", "cell"])
     block = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
@@ -252,7 +252,7 @@ def _verify(threshold: int):
 
 def _links(tiles: DataFrame, threshold: int) -> DataFrame:
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(threshold), "a bigint, b bigint"), "links", light=True)
+    return stored(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(threshold), "a bigint, b bigint"), "links", files_a_core=4)
 
 
 def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -262,9 +262,9 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataF
     named = signed.filter("d1 is not null and doc_id is not null")
     classes = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
     bands = classes.select("rep", F.explode("bands").alias("key"))
-    pivots = stored(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").select("key", "pivot"), "pivots", light=True)
+    pivots = stored(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").select("key", "pivot"), "pivots", files_a_core=4)
     ties = bands.join(pivots, "key").filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    clusters = stored(components(ties).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters", light=True)
+    clusters = stored(components(ties).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters", files_a_core=4)
     picked = spark.sparkContext.broadcast(bloom.of_column(clusters, "rep", clusters.count()))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +283,12 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataF
 
     found = _rows(docs).mapInArrow(full_sets, "rep bigint, d1 bigint, d2 bigint, n bigint, set binary, signature binary")
     keys = clusters.join(classes.select("rep", "d1", "d2"), "rep")
-    members = stored(found.join(keys, ["rep", "d1", "d2"]).select("cluster", "rep", "n", "set", "signature"), "members")
+    members = stored(found.join(keys, ["rep", "d1", "d2"]).select("cluster", "rep", "n", "set", "signature"), "members", files_a_core=4)
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint")
-    totals = stored(members.groupBy("cluster").agg(blocks.alias("blocks")), "totals", light=True)
+    totals = stored(members.groupBy("cluster").agg(blocks.alias("blocks")), "totals", files_a_core=1)
     linked = components(_links(_first_tiles(members, totals), threshold))
     if not totals.filter("blocks > 1").isEmpty():
-        linked = stored(linked, "first-components", light=True).withColumnsRenamed({"node": "rep"})
+        linked = stored(linked, "first-components", files_a_core=4).withColumnsRenamed({"node": "rep"})
         large = members.join(totals.filter("blocks > 1"), "cluster").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         rest = _links(_rest_tiles(large, threshold), threshold)
         linked = components(rest.unionAll(linked.select("rep", "component")))

@@ -59,7 +59,7 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, total: in
     rows, all_w = sums["rows"] or 0, sums["all_w"] or 1.0
     mean = F.col("w") * F.lit(float(rows if total is None else total)) / (F.lit(float(all_w)) * F.col("n"))
     out = weighted.withColumn("mean", mean).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mean") / CHUNK)).cast("int"))
-    return stored(out.withColumn("cdf", _table(F.col("mean") / F.col("draws"))).select("source", "mean", "draws", "cdf"), "rates", light=True)
+    return stored(out.withColumn("cdf", _table(F.col("mean") / F.col("draws"))).select("source", "mean", "draws", "cdf"), "rates", files_a_core=1)
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, seed: int = 1) -> DataFrame:

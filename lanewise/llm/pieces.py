@@ -301,7 +301,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def _parts(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows of about ``size`` bytes: their start and texts."""
     at, held, total = 0, [], 0
     for text in batch.column(column):

@@ -57,15 +57,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, files_a_core: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    A ``light`` table has small rows (ids, counts, links). It gets four files a core at most, since a file
-    a shuffle partition would be many tiny ones; its partitions are run through one after the other, never held together.
+    ``files_a_core`` bounds the files of a table that a shuffle would leave in many small ones: 1 for what stays small, 4 for
+    ids, counts and links that grow with the input, 0 for no bound. Its partitions are run through one after the other, never held together.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if light else df).write.parquet(path)
+    (df.coalesce(files_a_core * spark.sparkContext.defaultParallelism) if files_a_core else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

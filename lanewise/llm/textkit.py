@@ -14,7 +14,7 @@ import numpy as np
 
 from .bloom import mix
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x5851F42D4C957F2D
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

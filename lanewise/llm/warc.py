@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str, time_column: str | None = None
     when = F.date_format(F.col(time_column), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_column else F.lit(None).cast("string")
     rows = for_python(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), when.alias("date"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.xxhash64("digest"))
-    repeated = stored(rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first", F.xxhash64("digest").alias("key")), "payloads", light=True)
+    repeated = stored(rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first", F.xxhash64("digest").alias("key")), "payloads", files_a_core=4)
     suspects = spark.sparkContext.broadcast(bloom.of_column(repeated, "key", repeated.count()))
 
     def part(wanted: bool):
