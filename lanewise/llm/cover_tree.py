@@ -42,12 +42,12 @@ def _chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("centre", "radius", "points", "children", "centres", "radii", "add")
+    __slots__ = ("centre", "radius", "points", "children", "centres", "radii", "alone", "add")
 
     def __init__(self, centre: int, radius: float, points: np.ndarray):
         self.centre, self.radius, self.points = centre, radius, points
         self.children: list[Node] = []
-        self.centres, self.radii, self.add = np.array([centre]), np.array([radius]), 0
+        self.centres, self.radii, self.alone, self.add = np.array([centre]), np.array([radius]), np.array([len(points) == 1]), 0
 
     def parts(self) -> list[Node]:
         return self.children or [self]
@@ -86,6 +86,7 @@ def build(x: np.ndarray, points: np.ndarray, radius: float = 2.0) -> Node:
             alive = alive[~taken]
         node.centres = np.array([c.centre for c in node.children])
         node.radii = np.array([c.radius for c in node.children])
+        node.alone = np.array([len(c.points) == 1 for c in node.children])
     return root
 
 
@@ -166,7 +167,8 @@ class Links:
                     i, j = i[j > i], j[j > i]
                 spread, d = reach[i, j], d[i, j]
                 i, j = i + s, j + r
-                lone, within = spread == 0, (spread > 0) & (d + spread <= self.chord - SLACK)
+                lone = p.alone[i] & q.alone[j]  # a node of radius 0 may hold several points of one direction
+                within = ~lone & (d + spread <= self.chord - SLACK)
                 single.append((p.centres[i[lone]], q.centres[j[lone]]))
                 bulk += zip(i[within].tolist(), j[within].tolist())
                 rest = ~lone & ~within

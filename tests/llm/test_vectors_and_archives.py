@@ -68,6 +68,33 @@ def test_pairs_are_exact_across_cells_and_blocks(spark, block):
     assert found(spark.createDataFrame(table, VECTORS), block=block) == brute_vectors(table)
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_points_of_one_direction_keep_all_their_links(sides):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        v, other = rng.normal(size=(2, 32)).astype(np.float32).astype(np.float64)
+        other -= v * (other @ v) / (v @ v)
+        w = 0.95 * v / np.linalg.norm(v) + math.sqrt(1 - 0.95**2) * other / np.linalg.norm(other)
+        vectors, weight = np.array([v, 2 * v, 4 * v, w, 2 * w, 8 * w]), np.array([1, 2, 1, 3, 1, 1])
+        side = np.full(6, 2) if sides == 1 else np.array([0, 0, 0, 1, 1, 1])
+        count, forest = cover_tree.tile_links(vectors, weight, side, 0.93)
+        assert count.tolist() == [weight[(side != side[i]) if sides == 2 else np.arange(6) != i].sum() for i in range(6)]
+        assert len(forest) == 5
+
+
+def test_lengths_of_one_direction_are_linked_to_a_neighbour(spark):
+    rng = np.random.default_rng(6)
+    table = []
+    for label in range(12):
+        v, other = rng.normal(size=(2, 32))
+        v = [float(np.float32(x)) for x in v]
+        other -= np.array(v) * (other @ v) / np.dot(v, v)
+        w = 0.95 * np.array(v) / np.linalg.norm(v) + math.sqrt(1 - 0.95**2) * other / np.linalg.norm(other)
+        rows = [v, [2 * x for x in v], [4 * x for x in v], [float(np.float32(x)) for x in w]]
+        table += [(label * 10 + k, r, label) for k, r in enumerate(rows)]
+    assert found(spark.createDataFrame(table, VECTORS)) == brute_vectors(table)
+
+
 def test_tree_covers_its_points():
     rng = np.random.default_rng(3)
     x = cover_tree._unit(rng.normal(size=(300, 5)))
