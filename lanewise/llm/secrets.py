@@ -3,11 +3,12 @@
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a key word, = or :, and a value of 12
 characters or more), ``access`` (AKIA keys of 18 or more) and ``hex`` (16 or more lower-case hex digits).
 
-Kind ``entropy``: a candidate is a run of ``[A-Za-z0-9+/_=-]`` of 20 characters or more. Each
-character class has a window and a threshold in bits; a candidate is read as the narrowest class that
-holds all its characters. The window slides over the candidate; its entropy follows from counts that change by one character in and
-one out. Windows at or above the threshold merge into a span. Allowed are strings that an allow-list pattern
-matches whole (words, numbers, paths, identifiers, UUIDs, placeholders), and spans that lie in a base span.
+Kind ``entropy``: a run of ``[A-Za-z0-9+/_=-]`` of 20 characters or more is cut at its placeholders (strings of letters and digits
+that hold ``example``, ``00000000`` and the like). Each character class has a window and a threshold in bits, and every longest string of its characters in a
+part is a candidate of that class, so a name, path or ``key=`` before a secret does not move it to a wider class. The window slides over
+the candidate; its entropy follows from counts that change by one character in and one out. Windows at or above the
+threshold merge into a span. Allowed are candidates that an allow-list pattern matches whole (words, numbers, paths, identifiers,
+UUIDs), and spans of a candidate that lie in a base span.
 
 Spans are code-point offsets, end exclusive, ordered by start, then kind as listed in KINDS.
 A null text counts as empty. Null doc_ids are kept.
@@ -34,22 +35,26 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 
 #: name, characters, window, threshold in bits. Narrow classes first.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 20, 3.0),
-    ("upper_alnum", re.compile(r"[A-Z0-9]+"), 20, 3.5),
-    ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.7),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9),
+    ("hex", re.compile(r"[0-9a-f]{20,}+"), 20, 3.0),
+    ("hex", re.compile(r"[0-9A-F]{20,}+"), 20, 3.0),
+    ("upper_alnum", re.compile(r"[A-Z0-9]{20,}+"), 20, 3.5),
+    ("alnum", re.compile(r"[A-Za-z0-9]{20,}+"), 20, 3.7),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}+"), 20, 3.9),
 )
+# Alternatives share no string, so that a long row of separators is matched in one way only.
+_PIECE = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})?"
 ALLOWED = tuple(
     re.compile(p)
     for p in (
         r"[A-Z]?[a-z]+|[A-Z]+",  # a word
         r"[0-9]+",  # a number
-        r"(?:[A-Z]?[a-z]*|[A-Z]*|[0-9]{0,8})(?:[-_/=+](?:[A-Z]?[a-z]*|[A-Z]*|[0-9]{0,8}))*",  # words and short numbers with separators
+        rf"{_PIECE}(?:[-_/=+]{_PIECE})*",  # words and short numbers with separators
         r"[a-z]+(?:[A-Z][a-z]+)+[0-9]{0,4}",  # camel case
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # a UUID
-        r"(?i:.*(?:example|placeholder|changeme|x{6}|0{8}|abcdefgh|01234567).*)",
     )
 )
+_LETTERS = re.compile(r"[A-Za-z0-9]+")
+_PLACEHOLDER = re.compile(r"example|placeholder|changeme|x{6}|0{8}|abcdefgh|01234567", re.IGNORECASE)
 
 
 def _plogp(window: int) -> list[float]:
@@ -92,16 +97,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _parts(run: str) -> Iterator[tuple[int, str]]:
+    """(start, text) of what lies between the placeholders of a run."""
+    at = 0
+    if _PLACEHOLDER.search(run):
+        for m in _LETTERS.finditer(run):
+            if _PLACEHOLDER.search(m[0]):
+                yield at, run[at : m.start()]
+                at = m.end()
+    yield at, run[at:]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out: list[tuple[int, int, int]] = []
     for m in _CANDIDATE.finditer(text):
-        run = m[0]
-        if any(p.fullmatch(run) for p in ALLOWED):
-            continue
-        _, _, window, threshold = next(c for c in CLASSES if c[1].fullmatch(run))
-        for a, b in hot_windows(run, window, threshold):
-            a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, _, y in base):
+        hot = set()
+        for at, part in _parts(m[0]):
+            if len(part) < 20 or any(p.fullmatch(part) for p in ALLOWED):
+                continue
+            for _, characters, window, threshold in CLASSES:
+                for c in characters.finditer(part):
+                    if not any(p.fullmatch(c[0]) for p in ALLOWED):
+                        start = m.start() + at + c.start()
+                        hot.update((start + a, start + b) for a, b in hot_windows(c[0], window, threshold))
+        for a, b in sorted(hot):
+            if any(x <= a and b <= y for x, _, y in base):
+                continue
+            if out and a <= out[-1][2]:
+                out[-1] = out[-1][0], 3, max(out[-1][2], b)
+            else:
                 out.append((a, 3, b))
     return out
 

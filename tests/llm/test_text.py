@@ -133,6 +133,27 @@ def test_entropy_spans(text, found):
     assert bool([s for s in secrets.find_spans(text) if s[1] == 3]) == found
 
 
+def test_a_secret_is_found_behind_a_name_or_a_path():
+    rng = random.Random(8)
+    for before in ("id_", "key=", "sig/", "SESSION=", "path/to-the/", "api/example/", "00000000/", "Name2="):
+        for _ in range(50):
+            secret = "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+            alone = [s for s in secrets.find_spans(secret) if s[1] == 3]
+            spans = [s for s in secrets.find_spans(before + secret) if s[1] == 3]
+            for a, _, b in alone:
+                assert any(x <= a + len(before) and b + len(before) <= y for x, _, y in spans), before + secret
+            assert alone
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzzKEYq9"
+    assert secrets.find_spans("api/example/" + key) and secrets.find_spans(key + "/example")
+    for text in ("api/example/some-long-hyphenated-name", "id_12345678901234567890123", "Internationalisierungsmassnahmen/2024", "example/0123456789abcdefABCDEFGH", "v2a/INTERNATIONALISATIONSTUFF"):
+        assert not [s for s in secrets.find_spans(text) if s[1] == 3], text
+
+
+def test_a_row_of_separators_is_read_in_one_pass():
+    assert not secrets.find_spans("-" * 3000 + "a1b")
+    assert secrets.find_spans("=-" * 40 + "A7F3Q9ZK2M8X4B6N1T5RW0")
+
+
 def test_secret_frames(spark, odd_docs, no_docs):
     assert secrets.digest(secrets.find_secrets(no_docs)).count() == 0
     assert secrets.find_secrets(odd_docs).count() == odd_docs.count()
