@@ -1,7 +1,8 @@
 """Leaf blocks of a web page: runs of text between block boundaries, with their ancestors.
 
 A forgiving reader of tag soup: implied ends of paragraphs, items, cells and options, void and
-raw-text elements, unclosed comments and tags. Scripts, styles, templates and the like never yield text. Character
+raw-text elements, unclosed comments and tags. Scripts, styles, templates and the like never yield text; formulas and the content of
+object, noscript, audio, video and canvas are inline text. An unclosed raw-text element lasts to the end of the page, any other swallows nothing. Character
 references are decoded and white space in a block becomes one space.
 """
 
@@ -19,7 +20,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template iframe noscript noembed noframes textarea title svg math object audio video canvas datalist".split())
+RAW = frozenset("script style iframe noembed noframes textarea title".split())
+SILENT = RAW | frozenset("template svg datalist".split())
 #: An open element of the second set ends when one of the first begins, unless one of the third lies between.
 _IMPLIED = (
     (frozenset("li".split()), frozenset("li".split()), frozenset("ul ol menu dir".split())),
@@ -57,6 +59,7 @@ def leaf_blocks(html: str) -> list[Block]:
     stack: list[str] = []  # tags
     path: list[str] = []
     held: list[str] = []
+    endless: set[str] = set()  # elements that no end tag follows
     linked, in_link, at, n = 0, False, 0, len(html)
 
     def flush() -> None:
@@ -95,13 +98,18 @@ def leaf_blocks(html: str) -> list[Block]:
                     cut(len(stack) - 1 - stack[::-1].index(tag))
             continue
         if tag in SILENT:
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
+            if tag not in endless and (not m[3].endswith("/") or tag != "svg"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
-                at = end.end() if end else n
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         if tag == "a":
             in_link = "href" in m[3].lower()
-        elif tag == "br":
+        elif tag in ("br", "annotation", "annotation-xml"):
             held.append("\n")
         elif tag in BLOCKS:
             flush()

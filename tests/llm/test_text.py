@@ -268,6 +268,29 @@ def test_tag_soup():
     assert leaf_blocks('<div class="Ad-Box" hidden><p>x')[0].path == ("div ad box hidden!", "p")
 
 
+def test_only_raw_text_is_silent():
+    text = lambda html: [b.text for b in leaf_blocks(html)]
+    assert text("<p>As <math><mi>E</mi><mo>=</mo><mi>m</mi></math> shows,") == ["As E=m shows,"]
+    assert text("<p>a <math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math> b") == ["a x \\x b"]
+    for tag in ("math", "object", "noscript", "audio", "video", "canvas"):
+        assert text(f"<p>a <{tag}>b</{tag}> c</p><p>d</p>") == ["a b c", "d"]
+        assert text(f"<p>a <{tag}>b<p>c") == ["a b", "c"] and text(f"<p>a<{tag} />b") == ["ab"]
+    assert text("<noscript><img src=x><iframe>y</iframe><style>z</style></noscript><p>a") == ["a"]
+    for tag in ("template", "svg", "datalist"):
+        assert text(f"<p>a <{tag}>b</{tag}> c") == ["a c"] and text(f"<p>a <{tag}><p>c") == ["a", "c"]
+    for tag in ("script", "style", "iframe", "noembed", "noframes", "textarea", "title"):
+        assert text(f"<p>a <{tag}>b</{tag}> c") == ["a c"] and text(f"<p>a <{tag}><p>c") == ["a"]
+    assert text("<svg><p>c" * 20_000) == ["c"] * 20_000
+
+
+def test_formulas_stay_in_an_article(crf):
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>"
+    page = PAGE.replace("and a line break.", f"and {formula} in a line.")
+    assert "First paragraph with bold & nested words, and E=mc2 in a line." in html_crf.main_text(page, crf).split("\n\n")
+    unclosed = PAGE.replace("<article>", "<article><svg><path d=x>").replace("and a line break.", f"and {formula.removesuffix('</math>')} break.")
+    assert "A quotation of somebody famous." in html_crf.main_text(unclosed, crf)
+
+
 def test_page_frames(spark, crf):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "u", "", "y"), (3, None, "<p>" + "word " * 200_000, "z")], "page_id bigint, url string, html string, text string")
     out = {r["page_id"]: r for r in html_crf.extract_main(pages, crf).collect()}
