@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import textkit
 from .shared import for_python
 
-ROWS, DIM, NONZERO, WINDOW = 1 << 16, 32, 4, 2
-SAMPLE = 8_000
+ROWS, DIM, NONZERO, WINDOW = 1 << 16, 48, 4, 2
+SAMPLE = 16_000
 TOKENS = 1 << 15  # words pooled at a time
 HIDDEN = 32
 SEED = 11

@@ -193,6 +193,16 @@ def test_quality_edge_cases(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()  # no knowledge: one half
 
 
+def test_a_fit_takes_the_whole_sample_at_full_width(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(x.shape) or quality.Network(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros(1), 0.0))
+    docs = spark.range(13_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).alias("quality"))
+    rows = docs.filter(~quality.held_out(F.col("doc_id"))).count()
+    assert 8_000 < rows <= quality.SAMPLE
+    model = quality.fit(docs, docs)
+    assert seen == [(rows, 2 * 48 + 5)] and model.vectors.shape[1] == 2 * 48
+
+
 def test_pooling_in_pieces(monkeypatch):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(50, 2 * quality.DIM)).astype(np.float32)
