@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm import pieces
-from lanewise.llm.bloom import without
+from lanewise.llm.bloom import one_of_each, without
 from lanewise.llm.exact_dedup import exact_dedup
 from lanewise.llm.minhash_dedup import minhash_dedup
 from lanewise.llm.mixing import mix_sources
@@ -22,9 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    dropped = exact_dedup(docs).filter("not kept")
-    return without(docs, dropped, {"doc_id": F.col("doc_id").cast("bigint"), "text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    """One row of each group of equal texts, also where its doc_id is null or repeated."""
+    keys = {"doc_id": F.col("doc_id").cast("bigint"), "text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
+    found = exact_dedup(docs)
+    dropped = found.filter("not kept").select(*keys)
+    # exact_dedup keeps all rows that share the kept doc_id.
+    repeated = stored(found.filter("kept and group_size > 1").groupBy(*keys).count().filter("count > 1").select(*keys), "repeated", files_a_core=4)
+    if repeated.isEmpty():
+        return without(docs, dropped, keys)
+    return without(docs, dropped.unionAll(repeated), keys).unionAll(one_of_each(docs, repeated, keys))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,6 +137,18 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
     return clear.select("doc.*").unionAll(unsure.join(wrongly, _same(unsure, wrongly, names), "left_semi").select("doc.*"))
 
 
+def one_of_each(docs: DataFrame, repeated: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The least row of ``docs``, whole, of each of the ``keys`` (null-safe) in ``repeated``, which has columns of those names, each row once.
+
+    Rows of a key are combined in each task before they meet, so a hot key is one row a task.
+    """
+    names = list(keys)
+    seen = _shared_filter(repeated.select(F.xxhash64(*names).alias("h")))
+    packed = for_python(docs).select(F.xxhash64(*keys.values()).alias("h"), F.struct("*").alias("doc"), F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"))
+    least = packed.mapInArrow(_part(seen, True), packed.schema).select("doc", "key.*").groupBy(*names).agg(F.min("doc").alias("doc"))
+    return least.join(repeated, _same(least, repeated, names), "left_semi").select("doc.*")
+
+
 def _shared_filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(of_column(hashes, "h", hashes.count()))
 

@@ -65,6 +65,17 @@ def test_exact_stage(stages):
     assert ids(stages[2]) == sorted(keep.values())
 
 
+def test_exact_stage_keeps_one_row_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "a", "y"), (7, "b", "x"), (7, "b", "x"), (7, "b", "w"), (3, "b", "x"), (None, "b", "x"), (7, "c", "x"), (8, None, "x"), (8, "", "x"), (9, "d", "x"), (None, "e", "x"), (None, "f", "x"), (9, "g", "x"), (9, "g", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = corpus_pipeline.exact(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    want = [(None, "a", "x"), (7, "b", "w"), (7, "c", "x"), (8, None, "x"), (9, "d", "x"), (None, "e", "x"), (None, "f", "x"), (9, "g", "x")]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    hot = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(5).cast("bigint")).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("text"), F.lit("x").alias("source"))
+    assert corpus_pipeline.exact(spark, hot, str(tmp_path)).count() == 4
+
+
 def test_near_stage(stages):
     rows = table(stages[2])
     kept = [eval(x)[0] for x in brute_near(rows, 5, 80) if eval(x)[3]]  # noqa: S307
