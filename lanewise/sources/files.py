@@ -33,7 +33,7 @@ def _text(options: Mapping[str, Any] | None) -> dict[str, str]:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, options: Mapping[str, Any] | None = None) -> DataFrame:
     if not path_exists(path):
-        raise FileNotFoundError(f"CSV source not found: {path}")
+        raise FileNotFoundError(f"there is no file to read at {path}")
     reader = spark.read.options(**(CSV_DEFAULTS | _text(options)))
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
@@ -45,7 +45,7 @@ def read_parquet(spark: SparkSession, path: str, options: Mapping[str, Any] | No
 def write_frame(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Sequence[str] = (), options: Mapping[str, Any] | None = None) -> str:
     """Write as parquet, json or csv (with a header)."""
     if fmt not in ("parquet", "json", "csv"):
-        raise ValueError(f"Unsupported write format: {fmt}")
+        raise ValueError(f"{fmt} is none of parquet, json and csv")
     given = ({"header": "true"} if fmt == "csv" else {}) | _text(options)
     writer = df.write.format(fmt).mode(mode).options(**given)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
@@ -86,11 +86,11 @@ def source_path(base: str, entity: str, date: str) -> str:
             return path
     if found := sorted(Path(base).glob(f"{entity}_*.csv")):
         return str(found[-1])
-    raise FileNotFoundError(f"No raw source for entity '{entity}' and date '{date}' in {base}")
+    raise FileNotFoundError(f"{base} has no {entity} file, neither of {date} nor of another day")
 
 
 def region_lookup_path(base: str) -> str:
     path = join_path(base, "region_lookup.csv")
     if not path_exists(path):
-        raise FileNotFoundError(f"Region lookup file not found: {path}")
+        raise FileNotFoundError(f"there are no region codes at {path}")
     return path

@@ -100,8 +100,18 @@ def test_settings(tmp_path, monkeypatch):
         settings.load_config(tmp_path / "no.yaml", tmp_path)
     assert settings.load_config("prod")["spark"]["profile"] == "emr"
     assert settings.enumerate_dates(*settings.resolve_backfill_window("2026-02-27", "2026-03-01")) == ["2026-02-27", "2026-02-28", "2026-03-01"]
-    with pytest.raises(ValueError):
-        settings.parse_date("2026-13-01")
+    for wrong in ("2026-13-01", "2026-1", "", None, "01.02.2026"):
+        with pytest.raises(ValueError):
+            settings.parse_date(wrong)
+
+
+def test_settings_layers_of_unlike_shape():
+    """A value over a mapping, a mapping over a value, an empty mapping over a full one, and dots inside names."""
+    flat = settings.leaves({"a": {"b": 1}, "c": 2, "d": {"x.y": [1]}}) | {("a",): 5} | settings.leaves({"c": {"e": 3}, "d": {}})
+    assert settings.tree_of(flat) == {"a": 5, "c": {"e": 3}, "d": {"x.y": [1]}}
+    config = {"spark": {"conf": {"x.y": 1}, "profile": "p"}}
+    assert settings.apply_overrides(config, {"spark.conf": {}}) == {"spark": {"conf": {}, "profile": "p"}}
+    assert config == {"spark": {"conf": {"x.y": 1}, "profile": "p"}}
 
 
 def test_session_and_logs(spark):
