@@ -6,7 +6,8 @@ place on the page. Weights and transitions maximise the likelihood of labelled p
 seed), by Adam on gradients of the forward-backward recursion; Viterbi decodes. The main blocks' texts are joined
 in page order by two newlines. Nothing is dropped or capped otherwise.
 
-A null or empty page has the empty text. Rows without page_id or url, and repeated rows, keep their places.
+A null or empty page has the empty text. Rows without page_id or url keep their places, repeated rows are pages of their own, an
+empty table gives an empty table, and other columns of any name are not read. Time and memory are linear in a page, however long or deeply nested.
 """
 
 from __future__ import annotations
@@ -14,44 +15,47 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import Block, Place, leaf_blocks
 from .html_pages import labelled_pages
-from .shared import for_python
+from .shared import exists, for_python, rename, shared_dir, stored
 
 FEATURES = 1 << 14
+DENSE = 40  # key words tell something where one of so many words is one, digits where one of so many characters is one
 PAGES, EPOCHS, SEED = 1500, 120, 5
 _KEYWORDS = re.compile(
     r"\b(cookies?|consent|privacy|accept|subscribe|newsletter|sign ?(?:up|in)|log ?(?:in|out)|register|advert\w*|sponsor\w*|promo\w*|copyright|all rights|share|tweet|comments?|repl(?:y|ies)|said|read more|related|next|previous|home|menu|search|contact|terms|tags?|posted|"
-    r"anzeige|werbung|kommentare?|datenschutz|impressum|publicité|commentaires?|abonne\w*|partager|publicidad|comentarios?|compartir|suscr\w*)\b|©",
-    re.IGNORECASE,
+    r"anzeige|werbung|kommentare?|datenschutz|impressum|publicité|commentaires?|abonne\w*|partager|publicidad|comentarios?|compartir|suscr\w*)\b|©"
 )
 
-
 @lru_cache(maxsize=1 << 16)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) & (FEATURES - 1)
 
 
-def path_features(path: tuple[str, ...]) -> list[int]:
-    names = ["bias"]
-    described = [p.split() for p in path]
-    for tag, *words in described:
-        names.append(f"has {tag}")
-        names += [f"name {w}" for w in words]
-    if described:
-        tag, *words = described[-1]
-        up = described[-2][0] if len(described) > 1 else "-"
-        names += [f"own {tag}", f"pair {up} {tag}", *(f"own name {w}" for w in words)]
-        names += [f"up {w}" for w in (described[-2][1:] if len(described) > 1 else ())]
-    return [_slot(x) for x in dict.fromkeys(names)]
+def _own_names(place: Place | None) -> list[str]:
+    """Features of the innermost element and the one around it."""
+    if place is None:
+        return []
+    up = place.up
+    return [f"own {place.tag}", f"pair {up.tag if up else '-'} {place.tag}", *(f"own name {w}" for w in place.names), *(f"up {w}" for w in (up.names if up else ()))]
+
+
+def path_features(place: Place | None) -> list[int]:
+    names, at = ["bias", *_own_names(place)], place
+    while at is not None:
+        names += at.new
+        at = at.up
+    return [_slot(x) for x in names]
 
 
 def _bucket(value: float, edges: tuple) -> int:
@@ -64,17 +68,17 @@ def text_features(block: Block, at: int, n: int) -> list[int]:
     size = _bucket(words, (2, 4, 8, 15, 30, 60))
     link = _bucket(block.linked / len(text), (0.01, 0.25, 0.6, 0.9))
     ends = text[-1] in ".!?…:;\"'”»)"
-    tag = block.path[-1].split(" ", 1)[0] if block.path else "-"
+    tag = block.place.tag if block.place else "-"
     names = [f"size {size}", f"link {link}", f"ends {ends}", f"size {size} link {link} ends {ends}", f"{tag} size {size} ends {ends}", f"place {_bucket(at / n, (0.1, 0.3, 0.7, 0.9))}", f"first {min(at, 3)}", f"last {min(n - 1 - at, 3)}"]
-    if words <= 40:
-        names += [f"key {k.lower()}" for k in set(_KEYWORDS.findall(text))]
-    if any(c.isdigit() for c in text[:40]):
+    if (keys := _KEYWORDS.findall(text.lower())) and DENSE * len(keys) >= words:
+        names += [f"key {k}" for k in set(keys)]
+    if DENSE * sum(map(text.count, "0123456789")) >= len(text):
         names.append("digit")
     return [_slot(x) for x in names]
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
-    return [path_features(b.path) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    return [path_features(b.place) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
 
 
 @dataclass
@@ -84,17 +88,22 @@ class Crf:
     weights: np.ndarray
     steps: np.ndarray
     start: np.ndarray
-    _paths: dict = field(default_factory=dict)
+    def path_score(self, place: Place | None) -> float:
+        """Sum of the weights of ``path_features``; each element of a page adds its own to its ancestors' sum once."""
+        if place is None:
+            return float(self.weights[_slot("bias")])
+        todo, at = [], place
+        while at is not None and at.inner is None:
+            todo.append(at)
+            at = at.up
+        for p in reversed(todo):
+            p.inner = (p.up.inner if p.up else float(self.weights[_slot("bias")])) + sum(float(self.weights[_slot(x)]) for x in p.new)
+        if place.score is None:
+            place.score = place.inner + sum(float(self.weights[_slot(x)]) for x in _own_names(place))
+        return place.score
 
     def emissions(self, blocks: list[Block]) -> list[float]:
-        out = []
-        for i, b in enumerate(blocks):
-            if (own := self._paths.get(b.path)) is None:
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                own = self._paths[b.path] = float(self.weights[path_features(b.path)].sum())
-            out.append(own + float(self.weights[text_features(b, i, len(blocks))].sum()))
-        return out
+        return [self.path_score(b.place) + float(self.weights[text_features(b, i, len(blocks))].sum()) for i, b in enumerate(blocks)]
 
     def viterbi(self, blocks: list[Block]) -> list[int]:
         """The best labelling; of equal ones, that with the earlier other."""
@@ -118,34 +127,49 @@ class Crf:
 
 
 def train(pages: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS) -> Crf:
-    """Maximum likelihood with a small quadratic penalty; all pages in each step."""
-    pages = [p for p in pages if p[1]]
-    b, t = len(pages), max(len(y) for _, y in pages)
-    y, live = np.zeros((b, t), np.int64), np.zeros((b, t), bool)
+    """Maximum likelihood with a small quadratic penalty; all pages in each step, the longest first, block by block."""
+    pages = sorted((p for p in pages if p[1]), key=lambda p: -len(p[1]))
+    size = np.array([len(y) for _, y in pages])
+    b, t = len(pages), int(size.max())
+    on = [int((size > k).sum()) for k in range(t)]  # pages that have a block k
+    live = np.arange(t)[:, None] < size
+    y = np.zeros((t, b), np.int64)
     for i, (_, labels) in enumerate(pages):
-        y[i, : len(labels)], live[i, : len(labels)] = labels, True
+        y[: len(labels), i] = labels
     slots = np.array([s for f, _ in pages for own in f for s in own])
-    owner = np.repeat(np.flatnonzero(live.ravel()), [len(own) for f, _ in pages for own in f])
+    owner = np.repeat([k * b + i for i, (f, _) in enumerate(pages) for k in range(len(f))], [len(own) for f, _ in pages for own in f])
     params = [np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    seen = live[:, 1:]
-    pairs = np.array([[(seen & (y[:, :-1] == p) & (y[:, 1:] == q)).sum() for q in (0, 1)] for p in (0, 1)], float)
-    starts = np.bincount(y[:, 0], minlength=2).astype(float)
+    seen = live[1:]
+    pairs = np.array([[(seen & (y[:-1] == p) & (y[1:] == q)).sum() for q in (0, 1)] for p in (0, 1)], float)
+    starts = np.bincount(y[0], minlength=2).astype(float)
+    last = (size - 1, np.arange(b))
+    alpha, beta = np.zeros((2, t, b)), np.zeros((2, t, b))
     for step in range(1, epochs + 1):
         w, steps, start = params
-        e = np.zeros((b, t, 2))
-        e[:, :, 1] = np.bincount(owner, w[slots], b * t).reshape(b, t)
-        alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
-        alpha[:, 0] = start + e[:, 0]
+        e = np.zeros((2, t, b))
+        e[1] = np.bincount(owner, w[slots], b * t).reshape(t, b)
+        alpha[:, 0] = start[:, None] + e[:, 0]
         for k in range(1, t):
-            alpha[:, k] = np.where(live[:, k, None], np.logaddexp.reduce(alpha[:, k - 1, :, None] + steps, axis=1) + e[:, k], alpha[:, k - 1])
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
+            n = on[k]
+            before = alpha[:, k - 1, :n]
+            for q in (0, 1):
+                alpha[q, k, :n] = np.logaddexp(before[0] + steps[0, q], before[1] + steps[1, q]) + e[q, k, :n]
+        total = np.logaddexp(alpha[0][last], alpha[1][last])
+        beta[:] = 0
         for k in range(t - 2, -1, -1):
-            beta[:, k] = np.where(live[:, k + 1, None], np.logaddexp.reduce(steps + (e[:, k + 1] + beta[:, k + 1])[:, None, :], axis=2), 0)
-        one = np.where(live, np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]), 0)
-        both = np.exp(alpha[:, :-1, :, None] + steps + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * seen[:, :, None, None]
+            n = on[k + 1]
+            after = e[:, k + 1, :n] + beta[:, k + 1, :n]
+            for p in (0, 1):
+                beta[p, k, :n] = np.logaddexp(steps[p, 0] + after[0], steps[p, 1] + after[1])
+        one = np.where(live, np.exp(np.where(live, alpha[1] + beta[1] - total, 0)), 0)
+        expected = np.zeros((2, 2))
+        for p in (0, 1):
+            for q in (0, 1):
+                expected[p, q] = np.exp(np.where(seen, alpha[p, :-1] + steps[p, q] + e[q, 1:] + beta[q, 1:] - total, -np.inf)).sum()
         slip = (one - y * live).ravel()
-        grads = [np.bincount(slots, slip[owner], FEATURES) / b + 1e-4 * w, (both.sum(axis=(0, 1)) - pairs) / b + 2e-4 * steps, (np.exp(alpha[:, 0] + beta[:, 0] - total[:, None]).sum(axis=0) - starts) / b]
+        first_block = np.exp(alpha[:, 0] + beta[:, 0] - total).sum(axis=1)
+        grads = [np.bincount(slots, slip[owner], FEATURES) / b + 1e-4 * w, (expected - pairs) / b + 2e-4 * steps, (first_block - starts) / b]
         for p, g, m, v in zip(params, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -163,6 +187,25 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Crf:
     return train(made)
 
 
+_SOURCES = ("html_blocks.py", "html_crf.py", "html_pages.py")
+
+
+def trained_once(spark: SparkSession) -> Crf:
+    """The model of ``trained``, kept as a small table in the shared folder, so that later sessions read it.
+
+    The table is named by a digest of the reader's, the writer's and this module's source: a change trains anew.
+    """
+    digest = sha256(b"".join((Path(__file__).parent / n).read_bytes() for n in _SOURCES)).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/html-crf-{digest}"
+    schema = "weights array<double>, steps array<double>, start array<double>"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        made = trained()
+        rows = spark.createDataFrame([(made.weights.tolist(), made.steps.ravel().tolist(), made.start.tolist())], schema)
+        rename(spark, stored(rows, "html-crf")._stored_at, path)
+    found = spark.read.schema(schema).parquet(path).first()
+    return Crf(np.array(found["weights"]), np.array(found["steps"]).reshape(2, 2), np.array(found["start"]))
+
+
 def main_text(html: str | None, model: Crf) -> str:
     blocks = leaf_blocks(html or "")
     return "\n\n".join(b.text for b, y in zip(blocks, model.viterbi(blocks)) if y)
@@ -170,7 +213,7 @@ def main_text(html: str | None, model: Crf) -> str:
 
 def extract_main(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
+    shared = pages.sparkSession.sparkContext.broadcast(model or trained_once(pages.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -71,10 +71,27 @@ def stored(df: DataFrame, name: str, files_a_core: int = 0) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table made by ``stored`` that nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def _at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath, system = _at(spark, path)
+    return system.exists(jpath)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a finished folder its lasting name, unless another session was first."""
+    if not exists(spark, new):
+        source, system = _at(spark, old)
+        system.rename(source, _at(spark, new)[0])
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove tables made by ``stored`` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            jpath, system = _at(df.sparkSession, path)
+            system.delete(jpath, True)

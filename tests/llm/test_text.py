@@ -275,7 +275,93 @@ def test_tag_soup():
     assert text('<p title="a > b">c</p><table><tr><td>1<td>2<tr><td>3</table>') == ["c", "1", "2", "3"]
     assert text("<dl><dt>a<dd>b<dt>c</dl><select><option>x<option>y</select>") == ["a", "b", "c", "x", "y"]
     assert text("</div></p>x<a href=/>y") == ["xy"] and text("") == []
-    assert leaf_blocks('<div class="Ad-Box" hidden><p>x')[0].path == ("div ad box hidden!", "p")
+    assert leaf_blocks('<div class="Ad-Box" hidden><p>x')[0].place.path() == ("div ad box hidden!", "p")
+    many = " ".join(f"c{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    assert leaf_blocks(f"<div class='{many}'>x")[0].place.path() == (f"div {many}",)
+    assert leaf_blocks("<!--><p>a<!---><p>b<!x><?y></ z><p>c</>")[-1].text == "c"
+
+
+def test_quotes_open_strings_only_after_an_equals_sign():
+    text = lambda html: [b.text for b in leaf_blocks(html)]
+    assert text("<p title=it's>first</p><p>Tom's second</p>") == ["first", "Tom's second"]
+    assert text('<p class="x"">The second</p>') == ["The second"]
+    assert text("""<p "a' class='y' z">one</p><p class = "u>v" hidden>two</p>""") == ["one", "two"]
+    assert text('<p class="x>never ended</p><p>kept</p>') == ["never ended", "kept"]
+    assert text("<p class=>a</p><p =x=y>b</p><p/class=c/>d<a href=x/y/>e</a>") == ["a", "b", "de"]
+    assert text("<p>a</p class='b>c'><p>d</p") == ["a", "d"]
+
+
+def test_reader_against_another_on_random_pages():
+    """The text that both see, without white space; html.parser is the other reader."""
+    import random
+    from html.parser import HTMLParser
+
+    class Other(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.seen, self.inside = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.seen.append(data)
+
+    rng = random.Random(8)
+    tags = "p div li ul td tr table h2 span b a section blockquote nav i br".split()
+    extra = ["", ' class="a b"', " id=it's", " title='x > y'", " hidden", ' class="x""', " data-a=1 data-b='2'", ' href="/a?b&amp;c"', " =", "/"]
+    for _ in range(400):
+        html = ""
+        for _ in range(rng.randrange(1, 40)):
+            roll = rng.random()
+            if roll < 0.45:
+                html += rng.choice(["word ", "Tom's ", "a &lt; b ", "1 < 2 ", "é漢 ", 'say "so" ', "x=y "])
+            elif roll < 0.8:
+                html += f"<{rng.choice(tags)}{rng.choice(extra)}>"
+            elif roll < 0.95:
+                html += f"</{rng.choice(tags)}>"
+            else:
+                html += rng.choice(["<!-- <p>no -->", "<script>if (a < b) '</p>'</script>", "<style>p > a {}</style>", "<!doctype html>"])
+        other = Other()
+        other.feed(html)
+        other.close()
+        assert "".join("".join(other.seen).split()) == "".join("".join(b.text for b in leaf_blocks(html)).split()), html
+
+
+def test_nested_and_unclosed_tags_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    deep = ["<div>" * 200_000, "<div>x" * 160_000, "<a " * 300_000, '<a b="' * 150_000, "<div class='a" * 80_000, "<p><button>" + "<div>y" * 150_000, "<ul><li>z" * 100_000, "<table><tr><td>" * 60_000 + "</div>" * 20_000, "<" * 1_000_000, "<!" * 500_000, "</" * 500_000, "<label>" * 100_000 + "<p>" * 50_000, "<svg" * 250_000]
+    for html in deep:
+        began = time.process_time()
+        blocks = leaf_blocks(html)
+        model = html_crf.Crf(np.zeros(html_crf.FEATURES), np.zeros((2, 2)), np.zeros(2))
+        model.viterbi(blocks)
+        assert time.process_time() - began < 6, html[:20]  # about 1 s on a quiet machine
+    tracemalloc.start()
+    leaf_blocks("<div>x" * 160_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_key_words_and_digits_are_read_in_whole_texts():
+    seen = lambda text: set(html_crf.text_features(html_crf.Block(text, None, 0), 0, 1))
+    key, digit = html_crf._slot("key cookies"), html_crf._slot("digit")
+    assert key in seen("word " * 39 + "cookies") and key not in seen("word " * 60 + "cookies") and key in seen("word " * 60 + "Cookies cookies")
+    assert digit in seen("a" * 60 + "12") and digit not in seen("a" * 100 + "1")
+
+
+def test_training_is_kept_in_the_shared_folder(spark, crf, monkeypatch):
+    first = html_crf.trained_once(spark)
+    monkeypatch.setattr(html_crf, "trained", lambda: 1 / 0)
+    again = html_crf.trained_once(spark)
+    assert (first.weights == again.weights).all() and (first.steps == crf.steps).all() and (again.start == crf.start).all()
 
 
 def test_only_raw_text_is_silent():
@@ -301,6 +387,13 @@ def test_formulas_stay_in_an_article(crf):
     assert "A quotation of somebody famous." in html_crf.main_text(unclosed, crf)
 
 
+def test_page_scores_are_the_sums_of_their_features(crf):
+    for html, _ in labelled_pages(5, 99):
+        blocks = leaf_blocks(html)
+        plain = [sum(crf.weights[s] for s in f) for f in html_crf.features(blocks)]
+        assert crf.emissions(blocks) == pytest.approx(plain)
+
+
 def test_page_frames(spark, crf):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "u", "", "y"), (3, None, "<p>" + "word " * 200_000, "z")], "page_id bigint, url string, html string, text string")
     out = {r["page_id"]: r for r in html_crf.extract_main(pages, crf).collect()}
