@@ -11,13 +11,15 @@ threshold merge into a span. Allowed are candidates that an allow-list pattern m
 UUIDs), and spans of a candidate that lie in a base span.
 
 Spans are code-point offsets, end exclusive, ordered by start, then kind as listed in KINDS.
-A null text counts as empty. Null doc_ids are kept.
+A null text counts as empty. Null doc_ids are kept, repeated rows are scanned each, an empty table gives an empty table, and other
+columns of any name are not read. Time is linear in a text, however long its candidates or its rows of separators are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -110,6 +112,8 @@ def _parts(run: str) -> Iterator[tuple[int, str]]:
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
+    # Spans of one kind don't overlap, so the last that starts at or before a string is the only one that may hold it.
+    known = [([x for x, k, _ in base if k == kind], [y for _, k, y in base if k == kind]) for kind in range(3)]
     for m in _CANDIDATE.finditer(text):
         hot = set()
         for at, part in _parts(m[0]):
@@ -121,7 +125,7 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
                         start = m.start() + at + c.start()
                         hot.update((start + a, start + b) for a, b in hot_windows(c[0], window, threshold))
         for a, b in sorted(hot):
-            if any(x <= a and b <= y for x, _, y in base):
+            if any((i := bisect_right(s, a)) and e[i - 1] >= b for s, e in known):
                 continue
             if out and a <= out[-1][2]:
                 out[-1] = out[-1][0], 3, max(out[-1][2], b)

@@ -76,4 +76,54 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, vec_id) AS component_i
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
 
-ORACLES = {"op4_embedding_dedup": OP4, "op8_warc": OP8, "op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op9_line_dedup": OP9}
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_QUOTE = "[\"'']?"
+_KEYS = "|".join(_any_case(w).replace("_", "_?") for w in ("password", "passwd", "secret", "token", "api_key"))
+_ASSIGN = rf"({_KEYS}){_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)"
+_WORDS = "(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})?"
+_ALLOWED = f"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|{_WORDS}(?:[-_/=+]{_WORDS})*|[a-z]+(?:[A-Z][a-z]+)+[0-9]{{0,4}}|[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}"
+_PLACEHOLDER = "[A-Za-z0-9]*(?i:example|placeholder|changeme|x{6}|0{8}|abcdefgh|01234567)[A-Za-z0-9]*"
+
+
+def _found(text: str, pattern: str) -> str:
+    """List of (start, text) of a pattern's matches; the texts between them give the places."""
+    gaps, got = f"regexp_split_to_array({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}')"
+    return f"list_transform({got}, lambda m, i: {{'pos': list_sum(list_transform({gaps}[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform({got}[1:i - 1], lambda g: length(g))), 0), 'text': m}})"
+
+
+_CLASSES = (("[0-9a-f]{20,}", 3.0), ("[0-9A-F]{20,}", 3.0), ("[A-Z0-9]{20,}", 3.5), ("[A-Za-z0-9]{20,}", 3.7), ("[A-Za-z0-9+/_=-]{20,}", 3.9))
+
+OP7 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (
+  SELECT doc_id, 0 AS kind, m.pos AS a, m.pos + length(m.text) AS b FROM (
+    SELECT doc_id, unnest(list_zip({_found('text', _ASSIGN)}, regexp_extract_all(text, '{_ASSIGN}', 2))) AS z, z[1] AS m, z[2] AS v FROM t) WHERE length(v) >= 12
+  UNION ALL SELECT doc_id, 1, m.pos, m.pos + length(m.text) FROM (SELECT doc_id, unnest({_found('text', 'AKIA[A-Z0-9]+')}) AS m FROM t) WHERE length(m.text) >= 18
+  UNION ALL SELECT doc_id, 2, m.pos, m.pos + length(m.text) FROM (SELECT doc_id, unnest({_found('text', '[0-9a-f]+')}) AS m FROM (SELECT * FROM t WHERE regexp_matches(text, '[0-9a-f]{{16,}}'))) WHERE length(m.text) >= 16),
+runs AS (SELECT doc_id, unnest({_found('text', '[A-Za-z0-9+/_=-]{20,}')}) AS m FROM t),
+cut AS (SELECT doc_id, m.pos AS run_pos, regexp_split_to_array(m.text, '{_PLACEHOLDER}') AS parts, regexp_extract_all(m.text, '{_PLACEHOLDER}') AS holes FROM runs),
+parts AS (
+  SELECT doc_id, unnest(list_transform(parts, lambda p, i: {{'pos': run_pos + coalesce(list_sum(list_transform(parts[1:i - 1], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(holes[1:i - 1], lambda g: length(g))), 0), 'text': p}})) AS p FROM cut),
+likely AS (SELECT doc_id, p.pos AS pos, p.text AS part FROM parts WHERE length(p.text) >= 20 AND NOT regexp_full_match(p.text, '{_ALLOWED}')),
+strings AS ({" UNION ALL ".join(f"SELECT doc_id, pos, {i} AS class, {bits} AS bits, unnest({_found('part', pattern)}) AS c FROM likely" for i, (pattern, bits) in enumerate(_CLASSES))}),
+windows AS (
+  SELECT doc_id, class, pos + c.pos AS start, bits, c.text AS text, unnest(range(length(c.text) - 19)) AS i FROM strings WHERE NOT regexp_full_match(c.text, '{_ALLOWED}')),
+hot AS (SELECT doc_id, class, start, i FROM windows WHERE list_entropy(string_split(substr(text, i + 1, 20), '')) >= bits - 1e-9),
+steps AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 20 THEN 0 ELSE 1 END AS new FROM hot WINDOW w AS (PARTITION BY doc_id, class, start ORDER BY i)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, class, start ORDER BY i) AS n FROM steps),
+spans AS (SELECT DISTINCT doc_id, a, b FROM (SELECT doc_id, start + min(i) AS a, start + max(i) + 20 AS b FROM numbered GROUP BY doc_id, class, start, n)),
+outside AS (SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id IS NOT DISTINCT FROM s.doc_id AND b.a <= s.a AND s.b <= b.b)),
+breaks AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM outside),
+joined AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) AS n FROM breaks),
+every AS (SELECT doc_id, kind, a, b FROM b UNION ALL SELECT doc_id, 3, min(a), max(b) FROM joined GROUP BY doc_id, n),
+named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a::BIGINT || ':' || b::BIGINT AS shown FROM every)
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(shown, ',' ORDER BY a, kind, b) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY a, kind, b), '') AS spans
+FROM t LEFT JOIN named n ON n.doc_id IS NOT DISTINCT FROM t.doc_id GROUP BY t.doc_id
+"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op8_warc": OP8, "op10_mix_sources": OP10, "op3_exact_dedup": OP3, "op6_minhash_dedup": OP6, "op7_secrets": OP7, "op9_line_dedup": OP9}

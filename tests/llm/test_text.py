@@ -154,6 +154,52 @@ def test_a_row_of_separators_is_read_in_one_pass():
     assert secrets.find_spans("=-" * 40 + "A7F3Q9ZK2M8X4B6N1T5RW0")
 
 
+def planted_secrets(n, seed):
+    import string
+
+    rng = random.Random(seed)
+    letters = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "upper": string.ascii_uppercase + string.digits, "all": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/_=-"}
+    fixed = ["password", "PassWd = ", "api_key:", "token='", "secret", " ", "  ", "\n", "é ", "漢", "AKIA", "example", "EXAMPLE", "00000000", "-", "=", "/", "id_", "Some words here. ", "camelCaseNameOfThing", "ſecret=", "01234567-89ab-cdef-0123-456789abcdef", "some-long_path/with/words_and-12345", "'", '"']
+    for i in range(n):
+        out = []
+        for _ in range(rng.randrange(12)):
+            kind = rng.choice(list(letters))
+            out.append(rng.choice(fixed) if rng.random() < 0.6 else "".join(rng.choice(letters[kind]) for _ in range(rng.choice((8, 16, 20, 24, 32, 64, 90)))))
+        yield i, "".join(out)
+
+
+def test_all_spans_against_the_sql_twin():
+    import duckdb
+    import pandas as pd
+
+    from lanewise.llm import sql
+
+    documents = pd.DataFrame([*planted_secrets(1500, 4), (5000, None), (5001, "")], columns=["doc_id", "text"])  # noqa: F841  read by the SQL
+    shown = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    kinds = [0] * 4
+    for doc, n_assign, n_access, n_hex, _, spans in duckdb.sql(sql.OP7).fetchall():
+        text = documents.text[documents.doc_id == doc].iloc[0] or ""
+        found = secrets.find_spans(text)
+        assert spans == shown(found), text
+        assert [n_assign, n_access, n_hex] == [sum(k == i for _, k, _ in found) for i in range(3)]
+        for _, k, _ in found:
+            kinds[k] += 1
+    assert min(kinds) > 50
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    rng = random.Random(1)
+    line = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["-" * 10_000 + "aB1" + "x" * 17, "A-" * 10_000 + "A1bqxxxx", "-_/=+" * 10_000 + "aB1q", "aA" * 75_000 + "!", line(150_000, "abcdefABCDEF0123456789"), line(150_000, "abcXYZ019+/_=-"), "x" * 150_000, "example" * 20_000, "password:   " * 15_000, "AKIA" * 40_000]
+    texts.append("\n".join(f"id_{line(32, '0123456789abcdef')} {line(40, '0123456789ABCDEF')}" for _ in range(2_000)))
+    for text in texts:
+        began = time.process_time()
+        secrets.find_spans(text)
+        assert time.process_time() - began < 1, text[:30]
+
+
 def test_secret_frames(spark, odd_docs, no_docs):
     assert secrets.digest(secrets.find_secrets(no_docs)).count() == 0
     assert secrets.find_secrets(odd_docs).count() == odd_docs.count()
