@@ -174,11 +174,12 @@ def test_all_spans_against_the_sql_twin():
 
     from lanewise.llm import sql
 
-    documents = pd.DataFrame([*planted_secrets(1500, 4), (5000, None), (5001, "")], columns=["doc_id", "text"])  # noqa: F841  read by the SQL
+    documents = pd.DataFrame([*planted_secrets(4500, 4), (9000, None), (9001, "")], columns=["doc_id", "text"])  # noqa: F841  read by the SQL
+    texts = dict(zip(documents.doc_id, documents.text))
     shown = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     kinds = [0] * 4
     for doc, n_assign, n_access, n_hex, _, spans in duckdb.sql(sql.OP7).fetchall():
-        text = documents.text[documents.doc_id == doc].iloc[0] or ""
+        text = texts[doc] or ""
         found = secrets.find_spans(text)
         assert spans == shown(found), text
         assert [n_assign, n_access, n_hex] == [sum(k == i for _, k, _ in found) for i in range(3)]
