@@ -5,13 +5,13 @@ fewer words has its whole sequence as its one shingle, a document without words
 and is linked with nothing. Two documents are linked when 100 * |A & B| >= threshold * |A | B|.
 
 1. Sign. One pass makes, per document, the set's size, a 128-bit digest of the set, and one key per
-   band of ROWS minima out of BANDS * ROWS universal hashes. Rows with equal sets form a class; its
+   band of its MINIMA universal minima (``bands_for`` cuts them by the threshold). Rows with equal sets form a class; its
    smallest doc_id represents it, so a group of copies of any size goes on as one row.
 2. Candidates. Every representative is tied to the smallest one in each of its band buckets (a
    pre-aggregated minimum, one tie a row, no pairs). Alternating large-star and small-star turn the ties
    into clusters, which hold all pairs that share a bucket.
 3. Verify. A second pass makes sets and signatures of the clustered representatives only, which a
-   Bloom filter of bounded size picks out. A cluster that fits is one tile. A larger one is dealt
+   Bloom filter picks out, or a join where they are too many for one. A cluster that fits is one tile. A larger one is dealt
    twice at random into tiles of bounded size, which connects most of it at a cost in proportion to
    its rows; only rows outside its main component then meet all others, by pairs of bounded blocks of
    like set size, since pairs within the component are connected. In a tile, pairs pass the
@@ -19,9 +19,9 @@ and is linked with nothing. Two documents are linked when 100 * |A & B| >= thres
    full sets; connected pairs are skipped. A tile returns its components, as stars.
 4. Components of the confirmed links, then of every row by its class.
 
-Banding misses a pair at similarity 0.8 with probability (1 - 0.8 ** 4) ** 30, below 2e-7. Shingles
-are compared by 64-bit hashes. Rows of one doc_id are one document; rows without doc_id are linked
-with nothing (component_id null, kept).
+Words have 128-bit hashes and so have shingles; sets are compared by both halves. Rows of one doc_id are one document; rows without
+doc_id are linked with nothing (component_id null, kept). An empty table gives an empty table; other columns of any name are not
+read. A long text is held whole by the task that reads it, and so is its set.
 """
 
 from __future__ import annotations
@@ -37,71 +37,93 @@ from pyspark.sql import functions as F
 from . import bloom, textkit
 from .bloom import mix
 from .graph import as_stars, components
-from .shared import for_python, stored
+from .shared import for_python, scratch, stored
 
-BANDS, ROWS = 30, 4
-MARGIN = 0.2
+MINIMA = 256
+MISS = 1e-5  # at most so often do all bands miss a pair at the threshold
+SCREEN = 128  # minima that screen pairs, counted in a byte
+MARGIN = 0.215
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2)
-_W = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _rng.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, MINIMA, np.uint32)
+_W = _rng.integers(0, 1 << 63, (64, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_for(threshold: int) -> tuple[int, int]:
+    """(bands, rows a band): the longest bands that miss a pair at the threshold with a probability of at most MISS.
+
+    Long bands keep documents that merely resemble each other out of one bucket.
+    """
+    return max(((MINIMA // r, r) for r in range(1, 17) if (1 - (threshold / 100) ** r) ** (MINIMA // r) <= MISS), key=lambda x: x[1], default=(MINIMA, 1))
 
 
 def shingle_hashes(counts: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of shingles per text, their hashes, repeats included) from words per text and word hashes."""
+    """(number of shingles per text, their (n, 2) hashes, repeats included) from words per text and (words, 2) hashes."""
     ends = np.cumsum(counts)
     n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     if len(hashes) >= width:
         rolled = hashes[: len(hashes) - width + 1] * _W[0]
         for k in range(1, width):
-            rolled = rolled + hashes[k : len(hashes) - width + 1 + k] * _W[k]
+            rolled += hashes[k : len(hashes) - width + 1 + k] * _W[k]
         rolled = mix(rolled)
     else:
-        rolled = np.zeros(0, np.uint64)
+        rolled = np.zeros((0, 2), np.uint64)
     starts = ends - counts
     first = np.cumsum(n) - n
     index = np.repeat(starts - first, n) + np.arange(n.sum())
-    out = rolled[np.minimum(index, max(0, len(rolled) - 1))] if len(rolled) else np.zeros(len(index), np.uint64)
+    out = rolled[np.minimum(index, max(0, len(rolled) - 1))] if len(rolled) else np.zeros((len(index), 2), np.uint64)
     for i in np.flatnonzero((counts > 0) & (counts < width)):
         own = hashes[starts[i] : ends[i]]
-        out[first[i]] = mix(np.array([(own * _W[: len(own)]).sum() + np.uint64(len(own))]))[0]
+        out[first[i]] = mix((own * _W[: len(own)]).sum(axis=0, dtype=np.uint64) + np.uint64(len(own)))
     return n, out
 
 
 def minima(n: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """(texts with shingles, BANDS * ROWS) uint32 minima of universal hashes of the shingles' high halves."""
+    """(texts with shingles, MINIMA) uint32 minima of the universal hashes a * x + b modulo 2**32 of the shingles' high halves."""
     starts = np.cumsum(n) - n
     starts = starts[n > 0]
-    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
+    out = np.empty((len(starts), MINIMA), np.uint32)
     if len(starts):
-        x = shingles >> np.uint64(32)
+        x = (shingles[:, 0] >> np.uint64(32)).astype(np.uint32)
         held = np.empty_like(x)
-        for j in range(BANDS * ROWS):
+        for j in range(MINIMA):
             np.multiply(x, _A[j], out=held)
             held += _B[j]
-            out[:, j] = np.minimum.reduceat(held, starts) >> np.uint64(32)
+            out[:, j] = np.minimum.reduceat(held, starts)
     return out
 
 
+def distinct(shingles: np.ndarray) -> np.ndarray:
+    """The different rows of (n, 2) hashes, in order."""
+    out = shingles[np.argsort(shingles[:, 0])]
+    same = out[1:] == out[:-1]
+    if (same[:, 0] & ~same[:, 1]).any():  # one half is equal by chance: order by both
+        out = out[np.lexsort((out[:, 1], out[:, 0]))]
+        same = out[1:] == out[:-1]
+    return out[np.r_[True, ~same.all(axis=1)]] if len(out) else out
+
+
 def _sets(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(indices of texts, shingles per text, minima, sorted distinct shingles of each text)."""
-    for at, counts, hashes in textkit.whole(texts):
+    """(indices of texts, shingles per text, minima, distinct shingles of each text)."""
+    for at, counts, hashes in textkit.words(texts):
         n, shingles = shingle_hashes(counts, hashes, width)
         cuts = np.cumsum(n)
-        yield at, n, minima(n, shingles), [np.unique(shingles[b - k : b]) for b, k in zip(cuts, n)]
+        yield at, n, minima(n, shingles), [distinct(shingles[b - k : b]) for b, k in zip(cuts, n)]
 
 
 def _digest(own: np.ndarray) -> tuple[int, int]:
-    return int(mix(own).sum(dtype=np.uint64).view(np.int64)), int(mix(own ^ _W[9]).sum(dtype=np.uint64).view(np.int64))
+    high, low = mix(own ^ _W[9]).sum(axis=0, dtype=np.uint64).view(np.int64)
+    return int(high), int(low)
 
 
 def _binary_texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
-def sign(docs: DataFrame, width: int) -> DataFrame:
+def sign(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2, bands; d1 to bands are null for the empty set."""
+    n_bands, n_rows = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +132,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             digests: list[tuple] = [(None, None)] * size
             bands: list = [None] * size
             for at, n, low, sets in _sets(_binary_texts(batch, 1), width):
-                keys = mix((low.reshape(-1, BANDS, ROWS).astype(np.uint64) * _W[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _W[8]).view(np.int64)
+                keys = mix((low[:, : n_bands * n_rows].reshape(-1, n_bands, n_rows).astype(np.uint64) * _W[:n_rows, 0]).sum(axis=2, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64) * _W[40, 0]).view(np.int64)
                 row = iter(keys)
                 for i, own in zip(at, sets):
                     count[i] = len(own)
@@ -135,9 +157,9 @@ def links_in_tile(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarr
     size = np.array([len(s) for s in sets])
     m = len(sets)
     agree = np.zeros((m, m), np.uint8)
-    for column in signatures.T:
+    for column in signatures.T[:SCREEN]:
         agree += column[:, None] == column[None, :]
-    may = agree >= math.floor((threshold / 100 - MARGIN) * BANDS * ROWS)
+    may = agree >= math.floor((threshold / 100 - MARGIN) * SCREEN)
     may &= 100 * np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
     if (side != 2).any():
         may &= side[:, None] != side[None, :]
@@ -145,7 +167,9 @@ def links_in_tile(side: np.ndarray, sets: list[np.ndarray], signatures: np.ndarr
     if not may.any():
         return []
     row = np.repeat(np.arange(m), size)
-    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    both_halves = np.concatenate(sets)
+    high, low = (np.unique(both_halves[:, k], return_inverse=True)[1] for k in (0, 1))
+    _, shingle = np.unique(high * (int(low.max()) + 1) + low, return_inverse=True)
     listed = row[np.argsort(shingle, kind="stable")]
     ends = np.cumsum(np.bincount(shingle))
     cuts = np.cumsum(size)
@@ -231,7 +255,7 @@ def _verify(threshold: int):
         def close() -> pa.RecordBatch | None:
             if len(held) < 2:
                 return None
-            sets = [np.frombuffer(s, np.uint64) for _, _, s, _ in held]
+            sets = [np.frombuffer(s, np.uint64).reshape(-1, 2) for _, _, s, _ in held]
             low = np.stack([np.frombuffer(s, np.uint32) for _, _, _, s in held])
             got = links_in_tile(np.array([s for s, *_ in held]), sets, low, threshold)
             stars = as_stars([(held[i][1], held[j][1]) for i, j in got])
@@ -257,21 +281,30 @@ def _links(tiles: DataFrame, threshold: int) -> DataFrame:
 
 def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    signed = stored(sign(docs, width), "signed")
+    with scratch() as keep:
+        signed, by_class = map(keep, _solved(docs, width, threshold))
+    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _solved(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sign``, and the component_id of each class (d1, d2), both stored."""
+    signed = stored(sign(docs, width, threshold), "signed")
     named = signed.filter("d1 is not null and doc_id is not null")
     classes = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
     bands = classes.select("rep", F.explode("bands").alias("key"))
     pivots = stored(bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").select("key", "pivot"), "pivots", files_a_core=4)
     ties = bands.join(pivots, "key").filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     clusters = stored(components(ties).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters", files_a_core=4)
-    picked = spark.sparkContext.broadcast(bloom.of_column(clusters, "rep", clusters.count()))
+    picked = bloom.shared_filter(clusters, "rep")
+    texts = _rows(docs)
+    if picked is None:
+        texts = texts.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            hit = picked.value.maybe(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            part = batch.filter(pa.array(hit))
+            part = batch.filter(pa.array(bloom.may_hold(picked, batch.column(0))))
             doc = part.column(0).to_pylist()
             for at, n, low, sets in _sets(_binary_texts(part, 1), width):
                 has = [i for i in range(len(at)) if n[i]]
@@ -281,18 +314,17 @@ def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataF
                     names=["rep", "d1", "d2", "n", "set", "signature"],
                 )
 
-    found = _rows(docs).mapInArrow(full_sets, "rep bigint, d1 bigint, d2 bigint, n bigint, set binary, signature binary")
+    found = texts.mapInArrow(full_sets, "rep bigint, d1 bigint, d2 bigint, n bigint, set binary, signature binary")
     keys = clusters.join(classes.select("rep", "d1", "d2"), "rep")
     members = stored(found.join(keys, ["rep", "d1", "d2"]).select("cluster", "rep", "n", "set", "signature"), "members", files_a_core=4)
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint")
     totals = stored(members.groupBy("cluster").agg(blocks.alias("blocks")), "totals", files_a_core=1)
-    linked = components(_links(_first_tiles(members, totals), threshold))
+    links = _links(_first_tiles(members, totals), threshold)
+    linked = components(links)
     if not totals.filter("blocks > 1").isEmpty():
         linked = stored(linked, "first-components", files_a_core=4).withColumnsRenamed({"node": "rep"})
         large = members.join(totals.filter("blocks > 1"), "cluster").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         rest = _links(_rest_tiles(large, threshold), threshold)
         linked = components(rest.unionAll(linked.select("rep", "component")))
-    by_class = classes.select("d1", "d2", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.coalesce("component", "rep").alias("component_id")
+    return signed, stored(classes.select("d1", "d2", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", component), "class-components", files_a_core=4)

@@ -7,11 +7,37 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are removed at the end, but for those given to the function that this yields.
+
+    Kept tables, which a result still reads, belong to the scope around it, if there is one.
+    """
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made[:] = [x for x in made if x is not df]
+        if outer:
+            outer[-1].append(df)
+        return df
+
+    outer = list(_scopes[-1:])
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        drop(*made)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +94,8 @@ def stored(df: DataFrame, name: str, files_a_core: int = 0) -> DataFrame:
     (df.coalesce(files_a_core * spark.sparkContext.defaultParallelism) if files_a_core else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 

@@ -59,7 +59,7 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
   CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to,
   array_to_string(list_reverse(string_split(h.host, '.')), ',') || ')' || CASE WHEN h.rest LIKE '/%' THEN h.rest ELSE '/' || h.rest END AS url_key,
-  strftime(TIMESTAMP '2024-01-01' + to_seconds(d.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(((d.page_id % 1000000000) + 1000000000) % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
 FROM d LEFT JOIN f USING (payload_digest) JOIN h USING (page_id)
 """
 

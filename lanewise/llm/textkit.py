@@ -1,8 +1,9 @@
-"""Vectorised words and hashes of many UTF-8 texts at once.
+"""Words and hashes of many UTF-8 texts at once.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D after A-Z become a-z, which for
-UTF-8 equals the pattern ``[^\\x20\\x09-\\x0D]+`` on code points. A word's hash is a polynomial over its bytes modulo 2**64
-with an odd base, read off prefix sums, and mixed; equal words have equal hashes everywhere.
+UTF-8 equals the pattern ``[^\\x20\\x09-\\x0D]+`` on code points. ``words`` gives each 128 bits of XXH3, by which words are
+told apart. ``runs`` gives runs of byte classes a quick 64-bit hash, a polynomial over the bytes modulo 2**64 read off prefix sums, that serves
+only to pick rows of a table: different runs may share it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+from xxhash import xxh3_128_digest
 
 from .bloom import mix
 
@@ -56,14 +58,23 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield owner, held
 
 
-def words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index of the text, hash) of each word, in order, in pieces; a long text spans several."""
-    return runs(texts, WORDS, True)
+def words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(indices of texts, words per text, (words, 2) hashes in order) of groups of about PIECE bytes; no text spans two."""
+    first = size = 0
+    counts: list[int] = []
+    digests: list[bytes] = []
+    for i, text in enumerate(texts):
+        own = text.lower().split()  # bytes split at exactly 0x20 and 0x09-0x0D, and only A-Z become lower
+        counts.append(len(own))
+        digests.append(b"".join(map(xxh3_128_digest, own)))
+        size += len(text)
+        if size >= PIECE or i + 1 == len(texts):
+            yield np.arange(first, i + 1), np.array(counts, np.int64), np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+            first, size, counts, digests = i + 1, 0, [], []
 
 
 #: Class of each byte: 0 separates, and a run is of one class. MARKS tells punctuation from words.
-WORDS = (~_SPACE).astype(np.int8)
-MARKS = WORDS.copy()
+MARKS = (~_SPACE).astype(np.int8)
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 2
 
 
@@ -85,7 +96,7 @@ def runs(texts: list[bytes], classes: np.ndarray, lower: bool) -> Iterator[tuple
         yield np.array(owner, np.int64)[np.searchsorted(first, start, "right") - 1], mix(value + (end - start).astype(np.uint64))
 
 
-def whole(texts: list[bytes], classes: np.ndarray = WORDS, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def whole(texts: list[bytes], classes: np.ndarray, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Like ``runs``, but no text spans two yields: (indices of texts, run counts, hashes)."""
     batch: list[bytes] = []
     first = size = 0

@@ -66,12 +66,32 @@ def test_directory_doubles_until_buckets_fit():
     counts = np.zeros(256, np.int64)
     counts[:8], counts[200] = 10, 500
     d = Directory.over(counts, 25)
-    table = d.by_prefix(8)
+    table = d.slots
     assert len(table) == 256 and d.depth == 8
+    assert d.bucket_of(np.array([200 << 56], np.uint64).view(np.int64)).tolist() == [table[200]]
     load = np.bincount(table, counts)
     assert all(load[b] <= 25 or (table == b).sum() == 1 for b in set(table.tolist()))
     assert all((np.diff(np.flatnonzero(table == b)) == 1).all() for b in set(table.tolist()))  # each owns one key range
-    assert len(set(Directory.over(np.zeros(16, np.int64), 1).by_prefix(4).tolist())) == 1
+    assert Directory.over(np.zeros(16, np.int64), 1).slots.tolist() == [0]
+
+
+def test_prefixes_grow_until_buckets_fit(spark, monkeypatch):
+    """Keys that share their first 18 bits, in buckets of 50."""
+    monkeypatch.setattr(exact_dedup, "address", lambda key: F.shiftrightunsigned(F.xxhash64(key), 18))
+    keys = spark.range(1000).select(F.col("id").alias("key"))
+    made = exact_dedup.directory_of(keys, 50)
+    load = np.bincount(made.bucket_of(np.array([r[0] for r in keys.select(exact_dedup.address("key")).collect()])))
+    assert made.depth > 18 and load.max() <= 50 and load.sum() == 1000
+
+
+def test_look_up_goes_through_the_stored_directory(spark):
+    docs = spark.range(500).select("id", F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("text"))
+    light, directory, index = exact_dedup.build_index(docs, bucket_rows=16)
+    assert directory.count() == 2 ** directory.first()["depth"] and index.select("bucket").distinct().count() >= 300 / 16
+    new = spark.createDataFrame([("7",), ("299",), ("no such text",)], "text string").select("text", exact_dedup.hash_key(F.col("text")).alias("key"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    assert sorted((r["text"], r["keep_id"], r["group_size"]) for r in exact_dedup.look_up(new, directory, index).collect()) == [("299", 299, 1), ("7", 307, 2)]
+    lost = directory.withColumn("bucket", F.lit(-1))
+    assert exact_dedup.look_up(light, lost, index).count() == 0
 
 
 # Bloom filters
@@ -86,22 +106,52 @@ def test_filter_never_loses_a_key(spark):
     assert made.maybe(others).mean() < 0.02
     assert not made.maybe(np.zeros(0, np.int64)).size
     assert bloom.segments_for(10**12) * bloom.SEGMENT == bloom.CEILING
+    assert bloom.of_column(keys, "h", bloom.MOST_KEYS + 1) is None
+
 
+def digests_of(frame):
+    """(doc_id, digest) of (doc_id, key)."""
+    return frame.select("doc_id", F.substring(F.unhex(F.sha2(F.col("key").cast("string"), 256)), 1, 16).alias("digest"))
 
-def test_twice_seen_across_batches(spark):
-    import pyarrow as pa
 
-    def local(batches):
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                one = np.array([x], np.uint64)
-                yield bloom.local_rows(one, one[:0], 64)
+def test_suspects_are_about_the_true_repeats_in_small_filters(spark, monkeypatch):
+    """200,000 keys in 20 ranges, 2,000 of them in two documents or more, one in 5,000, and one often in one document."""
+    monkeypatch.setattr(bloom, "LEAST_KEYS", 10_000)
+    monkeypatch.setattr(bloom, "FLUSH", 3_000)
+    lone = spark.range(200_000).select(F.col("id").alias("doc_id"), F.col("id").alias("key"))
+    again = spark.range(0, 200_000, 100).select((F.col("id") + 7).alias("doc_id"), F.col("id").alias("key"))
+    hot = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit(-1).cast("bigint").alias("key"))
+    own = spark.range(3_000).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit(-2).cast("bigint").alias("key"))
+    frame = digests_of(lone.unionAll(again).unionAll(hot).unionAll(own)).repartition(7)
+    n = frame.count()
+    assert n / bloom.keys_a_range(n) > 20
+    got = bloom.suspects(frame, n).distinct()
+    true = frame.distinct().join(frame.groupBy("digest").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1"), "digest").select("doc_id", "digest")
+    assert true.exceptAll(got).count() == 0
+    assert true.count() == 9_000 and got.count() < 9_000 + 0.01 * n
 
-    frame = spark.createDataFrame([(i,) for i in [*range(300), *range(100)]], "x bigint").repartition(4)
-    twice = bloom.merged(frame.mapInArrow(local, bloom.LOCAL_SCHEMA), 64, "twice")
-    assert twice.maybe(np.arange(100, dtype=np.uint64)).all()
-    assert twice.maybe(np.arange(100, 300, dtype=np.uint64)).mean() < 0.05
-    assert isinstance(bloom.local_rows(np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1), pa.RecordBatch)
+
+def test_ranges_follow_the_number_of_keys():
+    for n in (1, 10**6, 10**9, 10**12):
+        wide = bloom.keys_a_range(n)
+        assert wide <= bloom.MOST_RANGE_KEYS and bloom.segments_for(wide, 1 << 62) * bloom.SEGMENT >= bloom.BITS_A_KEY * wide
+    assert bloom.keys_a_range(10**12) == bloom.MOST_RANGE_KEYS
+
+
+def test_operators_without_filters(spark, odd_docs, monkeypatch):
+    """More keys than a broadcast filter may hold: joins take over, with the same rows."""
+    from lanewise.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://x.y/{i}", "same " * 30 if i % 3 else f"{i} " * 60) for i in range(60)], "page_id bigint, url string, html string")
+    dropped = spark.createDataFrame([(1,), (None,), (77,)], "doc_id bigint")
+    results = []
+    for most in (bloom.MOST_KEYS, 0):
+        monkeypatch.setattr(bloom, "MOST_KEYS", most)
+        left = bloom.without(odd_docs, dropped, {"doc_id": F.col("doc_id")})
+        least = bloom.one_of_each(odd_docs, spark.createDataFrame([(1,), (None,)], "doc_id bigint"), {"doc_id": F.col("doc_id")})
+        archived = warc.archive_pages(pages).select("page_id", "payload_digest", "record_type", "refers_to", "url_key")
+        results.append([rows(left), rows(least), rows(line_dedup(odd_docs), "doc_id", "n_lines", "n_dropped", "text"), rows(minhash_dedup.minhash_dedup(odd_docs, 3, 85)), rows(exact_dedup.exact_dedup(odd_docs)), rows(archived)])
+    assert results[0] == results[1]
 
 
 def test_without(odd_docs, spark):
@@ -181,10 +231,10 @@ def brute_near(table, width, threshold):
 def test_words_are_the_pattern():
     texts = ["A  bB\tc\x0b\x0cd\r\ne", "", "é À\x85x y", "x" * 3000, "one " * 5000]
     seen = [[] for _ in texts]
-    for at, counts, hashes in textkit.whole([t.encode() for t in texts]):
+    for at, counts, hashes in textkit.words([t.encode() for t in texts]):
         ends = np.cumsum(counts)
         for i, a, b in zip(at, ends - counts, ends):
-            seen[i] = hashes[a:b].tolist()
+            seen[i] = [tuple(h) for h in hashes[a:b].tolist()]
     by_word = {}
     for t, own in zip(texts, seen):
         assert len(words(t)) == len(own)
@@ -223,6 +273,50 @@ def test_minhash_dedup_of_a_group_of_many_blocks(spark, monkeypatch):
     assert rows(minhash_dedup.minhash_dedup(frame, 3, 85)) == brute_near(table, 3, 85)
 
 
-def test_banding_misses_next_to_nothing():
-    for similarity in (0.8, 0.85):
-        assert (1 - similarity**minhash_dedup.ROWS) ** minhash_dedup.BANDS < 1e-6
+def test_banding_misses_next_to_nothing_and_ties_little():
+    for threshold, most in ((80, 0.04), (85, 0.01), (50, 1)):
+        bands, r = minhash_dedup.bands_for(threshold)
+        assert bands * r <= minhash_dedup.MINIMA
+        assert (1 - (threshold / 100) ** r) ** bands <= minhash_dedup.MISS
+        assert 1 - (1 - 0.3**r) ** bands < most
+
+
+def test_words_that_polynomials_confuse_are_different(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    frame = spark.createDataFrame([(1, word), (2, other), (3, word), (4, f"{word} {other} x"), (5, f"{other} {word} x")], "doc_id bigint, text string")
+    assert [r["component_id"] for r in minhash_dedup.minhash_dedup(frame, 3, 85).orderBy("doc_id").collect()] == [1, 2, 1, 4, 5]
+
+
+def test_halves_of_shingle_hashes_both_count():
+    one = np.array([[1, 1], [1, 2], [1, 1], [2, 1]], np.uint64)
+    assert minhash_dedup.distinct(one).tolist() == [[1, 1], [1, 2], [2, 1]]
+    assert minhash_dedup.distinct(one[:0]).shape == (0, 2)
+    sets = [one[[0, 3]], one[[1, 3]], one[[0, 3]]]
+    signs = np.zeros((3, minhash_dedup.MINIMA), np.uint32)
+    assert minhash_dedup.links_in_tile(np.full(3, 2), sets, signs, 85) == [(0, 2)]
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    errors = []
+    for similarity in (0.3, 0.6, 0.8, 0.9):
+        for _ in range(40):
+            both, n = rng.integers(0, 1 << 63, (round(300 * similarity), 2), np.uint64), 300 - round(300 * similarity)
+            a, b = (np.concatenate([both, rng.integers(0, 1 << 63, (k, 2), np.uint64)]) for k in (n // 2, n - n // 2))
+            low = minhash_dedup.minima(np.array([len(a), len(b)]), np.concatenate([a, b]))
+            errors.append((low[0] == low[1]).mean() - similarity)
+    assert abs(np.mean(errors)) < 0.01 and np.abs(errors).max() < 6 * (0.25 / minhash_dedup.MINIMA) ** 0.5
+
+
+def test_intermediate_tables_are_removed(spark, odd_docs):
+    from pathlib import Path
+
+    from lanewise.llm import shared
+
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("*")}
+    minhash_dedup.minhash_dedup(odd_docs, 3, 85).count()
+    line_dedup(odd_docs).count()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in folder.glob("*") if p.name not in before) == ["class-components", "line-drops", "signed"]

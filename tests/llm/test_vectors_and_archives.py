@@ -143,7 +143,9 @@ def test_archive_round_trip_and_order(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "a", 1) for r in table], "page_id bigint, url string, html string, digest string, archive int").repartition(5)
     files = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=2000)
     assert files.count() > 5 and files.agg(F.sum("records")).first()[0] == len(table)
-    merged = warc.merge_runs(warc.read_archives(files, f"file://{tmp_path}/w"), parts=4)
+    fences = warc.read_archives(files, f"file://{tmp_path}/w", run_rows=20, slice_rows=3)
+    assert fences.select("run").distinct().count() > 6 and fences.agg(F.sum("n")).first()[0] == len(table)
+    merged = warc.merge_runs(fences, f"file://{tmp_path}/w", ranges=4)
     got = merged.collect()
     assert sorted(repr(tuple(r[c] for c in CONTRACT)) for r in got) == brute_archive(table)
     order = [(r["url_key"], r["captured_at"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
@@ -156,6 +158,20 @@ def test_archive_round_trip_and_order(spark, tmp_path):
     assert warc.parse(content)[1] == b"x" * 200_000
 
 
+def test_many_runs_are_merged_in_levels_and_equal_captures_are_split(spark, tmp_path):
+    """900 captures of one URL, time and page and 100 others, in runs of 10, two merged at a time."""
+    pages = spark.range(1000).select(F.when(F.col("id") >= 900, F.col("id")).alias("page_id"), F.when(F.col("id") >= 900, F.concat(F.lit("http://y.z/"), F.repeat(F.lit("long/"), 100), "id")).otherwise("http://x.y/").alias("url"), F.lit("").alias("html")).repartition(3)
+    folder = f"file://{tmp_path}/w"
+    fences = warc.read_archives(warc.write_archives(pages, folder), folder, run_rows=10, slice_rows=4)
+    merged = warc.merge_runs(fences, folder, ranges=8, fan_in=12, group=5, slice_rows=4)
+    got = merged.collect()
+    order = [(r["url_key"], r["captured_at"], r["page_id"] or 0, r["archive"], r["position"]) for r in got]
+    assert order == sorted(order) and len(set(order)) == 1000
+    sizes = merged.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 400
+    assert warc.archive_pages(spark.createDataFrame([(10**17, "u", "a"), (-5, "u", "b")], "page_id bigint, url string, html string")).count() == 2
+
+
 def test_archive_of_nothing_and_with_times(spark):
     pages = spark.createDataFrame([(1, "http://x.y/", "a"), (2, "http://x.y/", "b")], "page_id bigint, url string, html string")
     assert warc.archive_pages(pages.limit(0)).count() == 0
