@@ -77,9 +77,9 @@ def test_points_of_one_direction_keep_all_their_links(sides):
         w = 0.95 * v / np.linalg.norm(v) + math.sqrt(1 - 0.95**2) * other / np.linalg.norm(other)
         vectors, weight = np.array([v, 2 * v, 4 * v, w, 2 * w, 8 * w]), np.array([1, 2, 1, 3, 1, 1])
         side = np.full(6, 2) if sides == 1 else np.array([0, 0, 0, 1, 1, 1])
-        count, forest = cover_tree.tile_links(vectors, weight, side, 0.93)
-        assert count.tolist() == [weight[(side != side[i]) if sides == 2 else np.arange(6) != i].sum() for i in range(6)]
-        assert len(forest) == 5
+        links = cover_tree.tile_links(vectors, weight, side, 0.93)
+        assert links.count.tolist() == [weight[(side != side[i]) if sides == 2 else np.arange(6) != i].sum() for i in range(6)]
+        assert links.label.tolist() == [0] * 6
 
 
 def test_lengths_of_one_direction_are_linked_to_a_neighbour(spark):
@@ -98,15 +98,92 @@ def test_lengths_of_one_direction_are_linked_to_a_neighbour(spark):
 def test_tree_covers_its_points():
     rng = np.random.default_rng(3)
     x = cover_tree._unit(rng.normal(size=(300, 5)))
-    todo, leaves = [cover_tree.build(x, np.arange(300))], 0
+    x[40:60] = x[40]
+    tree = cover_tree.Tree(x, np.arange(300))
+    todo, leaves = [0], 0
     while todo:
         node = todo.pop()
-        assert np.linalg.norm(x[node.points] - x[node.centre], axis=1).max() <= node.radius + 1e-6
-        assert sorted(p for c in node.children for p in c.points) == (sorted(node.points) if node.children else [])
-        assert not node.children or any(c.centre == node.centre for c in node.children)  # nested
-        leaves += len(node.points) == 1
-        todo += node.children
-    assert leaves == 300
+        points = tree.order[tree.low[node] : tree.high[node]]
+        kids = range(tree.first[node], tree.first[node] + tree.n_children[node])
+        assert np.linalg.norm(x[points] - x[tree.centre[node]], axis=1).max() <= tree.radius[node] + 1e-6
+        if len(points) == 1:
+            leaves += 1
+            continue
+        assert [p for k in kids for p in tree.order[tree.low[k] : tree.high[k]]] == points.tolist()
+        assert any(tree.centre[k] == tree.centre[node] for k in kids)  # nested
+        assert max(tree.radius[k] for k in kids) <= max(tree.radius[node], 1e-5)
+        todo += kids
+    assert leaves == 300 and sorted(tree.order.tolist()) == list(range(300))
+
+
+def clustered(n, groups, noise, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    return cover_tree._unit(centres[rng.integers(groups, size=n)] + rng.normal(size=(n, dim)) * noise)
+
+
+def least_labels(hit):
+    """The least row that each row reaches."""
+    label = np.arange(len(hit))
+    while True:
+        new = np.minimum(label, np.where(hit, label[None, :], len(hit)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize(("noise", "dim"), [(0.01, 64), (0.045, 64), (0.2, 64), (0.3, 8), (1.0, 3)])
+def test_traversal_finds_the_links_of_all_pairs(two, noise, dim):
+    """Equal vectors, near ones, dense groups counted in bulk, hubs and strangers, with weights."""
+    x = clustered(900, 60, noise, dim, 1)
+    x[100:140] = x[100]
+    weight = np.random.default_rng(2).integers(1, 5, 900)
+    side = np.arange(900) % 2 if two else np.full(900, 2)
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    if two:
+        hit &= side[:, None] != side[None, :]
+    links = cover_tree.tile_links(x, weight, side, 0.93)
+    assert links.count.tolist() == (hit @ weight).tolist()
+    assert links.label.tolist() == least_labels(hit).tolist()
+
+
+@pytest.mark.parametrize(("noise", "most"), [(0.03, 0.2), (0.045, 0.4)])
+def test_traversal_prunes_most_pairs_of_clustered_vectors(noise, most):
+    """4,000 vectors in 400 groups of 64 dimensions: far fewer distances than pairs, none replaced by a comparison of all."""
+    x = clustered(4000, 400, noise, 64, 3)
+    links = cover_tree.tile_links(x, np.ones(4000, np.int64), np.full(4000, 2), 0.93)
+    assert links.measured < most * 4000 * 3999 / 2
+    hit = x @ x.T >= 0.93
+    assert links.count.sum() == hit.sum() - 4000 > 100
+
+
+def test_planted_links_across_cells(spark):
+    """Copies, a chain of near vectors that crosses cells, a hub, lengths of one direction and strangers, in many small cells."""
+    rng = np.random.default_rng(12)
+    table = [(i, [float(v) for v in rng.normal(size=16)], i % 3) for i in range(400)]
+    base = rng.normal(size=16)
+    for k in range(60):  # a chain: each step turns by some degrees
+        base = base / np.linalg.norm(base)
+        turn = rng.normal(size=16)
+        turn -= base * (turn @ base)
+        base = base * 0.96 + turn / np.linalg.norm(turn) * 0.28
+        table.append((1000 + k, [float(v) for v in base * rng.uniform(0.1, 50)], 0))
+    hub = rng.normal(size=16)
+    hub /= np.linalg.norm(hub)
+    for k in range(80):
+        turn = rng.normal(size=16)
+        turn -= hub * (turn @ hub)
+        table.append((2000 + k, [float(v) for v in hub * 0.94 + turn / np.linalg.norm(turn) * 0.341], 1))
+    table.append((1999, [float(v) for v in hub], 1))
+    table += [(3000 + k, table[k % 20][1], table[k % 20][2]) for k in range(60)]
+    rng.shuffle(table)
+    frame = spark.createDataFrame([(int(a), b, int(c)) for a, b, c in table], "vec_id bigint, embedding array<double>, label int")
+    want = brute_vectors([(int(a), b, int(c)) for a, b, c in table])
+    assert sum("True" in r for r in want) < len(table) - 150
+    assert found(frame, block=16) == want == found(frame)
 
 
 # Archives
