@@ -1,23 +1,25 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated.
 
 Words are runs of letters and digits (any byte from 0x80 counts as a letter), and runs of punctuation; case
-counts. A word's index vector is a sparse ternary vector drawn from its hash. Its context
-vector sums its neighbours' index vectors over the fitting sample. Both are kept for ROWS hashed words, a table of fixed size. A
+counts. A word's index vector is a sparse vector of small integers drawn from its hash. Its context
+vector sums its neighbours' index vectors over the fitting sample, in integers, so that no order of rows changes it. Both are kept at unit length for ROWS hashed words, a table of fixed size. A
 document is the mean of its words' index and context vectors, with the norms of both means, how
 much neighbouring words agree, and the logarithm of its length; norms and agreement tell repetition from prose.
 
 The network has one hidden layer, is written in numpy and trained by Adam with early stopping. Its logits are divided by a
 temperature fitted on rows kept out of the training.
 
-Fitting takes at most ``sample`` labelled rows (a documented bound; those of the smallest hashes of doc_id), of which only word rows,
-two bytes each, reach the driver. Rows whose crc32(doc_id as text) mod 3 is 1 are held out: their labels are never read.
+Fitting takes at most ``sample`` labelled documents (a documented bound; those of the smallest hashes of doc_id; of rows that repeat a doc_id, the one of
+the least words). Their words stay on the executors: the driver gets the context sums, ROWS * DIM numbers, and FEATURES
+numbers a document, whatever the length of the texts. Rows whose crc32(doc_id as text) mod 3 is 1 are held out: their labels are never read.
 Inputs of a score are the text's words only. A null text counts as empty; empty texts get the score
-of the zero vector. Without a single fitting row, or with labels of one kind only, every score is that share.
+of the zero vector. Without a single fitting row, or with labels of one kind only, every score is that share. An empty table gives an empty table,
+repeated rows are scored each, a long text is pooled in bounded pieces, and other columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import for_python
+from .shared import for_python, scratch, stored
 
 ROWS, DIM, NONZERO, WINDOW = 1 << 16, 48, 4, 2
 SAMPLE = 16_000
@@ -46,29 +48,43 @@ def word_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield at, counts, (hashes >> np.uint64(48)).astype(np.int64)
 
 
-def index_vectors() -> np.ndarray:
+def index_counts() -> np.ndarray:
+    """The index vectors as integers."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((ROWS, DIM), np.float32)
+    out = np.zeros((ROWS, DIM), np.int8)
     for _ in range(NONZERO):
-        out[np.arange(ROWS), rng.integers(0, DIM, ROWS)] += rng.choice([-1.0, 1.0], ROWS).astype(np.float32)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+        out[np.arange(ROWS), rng.integers(0, DIM, ROWS)] += rng.choice([-1, 1], ROWS).astype(np.int8)
+    return out
 
 
-def context_vectors(index: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """Sums of the index vectors of the words up to WINDOW places away, of unit length; a word never seen has its own index vector."""
-    out = np.zeros_like(index)
+def context_sums(index: np.ndarray, docs: Iterable[np.ndarray]) -> np.ndarray:
+    """Sums of the index vectors of the words up to WINDOW places away from each word."""
+    out = np.zeros(index.shape, np.int64)
     for own in docs:
-        if len(own) > 1:
-            near = np.zeros((len(own), DIM), np.float32)
-            v = index[own]
-            for k in range(1, min(WINDOW, len(own) - 1) + 1):
+        for s in range(0, len(own), TOKENS):  # a long text in pieces that overlap by the window
+            a, b = max(0, s - WINDOW), min(len(own), s + TOKENS + WINDOW)
+            part = own[a:b]
+            v, near = index[part], np.zeros((len(part), index.shape[1]), np.int32)
+            for k in range(1, min(WINDOW, len(part) - 1) + 1):
                 near[k:] += v[:-k]
                 near[:-k] += v[k:]
-            order = np.argsort(own, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
-            out[own[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.where(norm > 0, out / np.maximum(norm, 1e-6), index)
+            inner = slice(s - a, min(len(own), s + TOKENS) - a)
+            part, near = part[inner], near[inner]
+            order = np.argsort(part, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(part[order].astype(np.int64)) > 0])
+            out[part[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
+    return out
+
+
+def word_vectors(index: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Index and context vector of each word at unit length, side by side; a word never seen has its index vector for both."""
+    own = _unit_rows(index.astype(np.float64))
+    context = np.where(sums.any(axis=1, keepdims=True), _unit_rows(sums.astype(np.float64)), own)
+    return np.concatenate([own, context], axis=1).astype(np.float32)
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
 
 def _means(vectors: np.ndarray, starts: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -175,8 +191,11 @@ class Classifier:
         return out
 
 
+CHUNKS = 16  # of the table of context sums, added up in a task each
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Classifier:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, ``label``) that are not held out, and their texts in ``docs``."""
+    """Fit on at most ``sample`` documents of ``labels`` (doc_id, ``label``) that are not held out, and their texts in ``docs``."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     some = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)
     texts = for_python(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -190,18 +209,44 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                     packed[i] = rows[a:b].astype(np.uint16).tobytes()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "y", "rows"])
 
-    # At most ``sample`` pairs of integers: bounded, so it may be broadcast.
-    found = texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(to_rows, "doc_id bigint, y int, rows binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["rows"]))
-    words = [np.frombuffer(r["rows"], np.uint16) for r in found]
-    y = np.array([float(r["y"] > 0) for r in found])
-    index = index_vectors()
-    vectors = np.concatenate([index, context_vectors(index, words)], axis=1)
-    x = np.zeros((len(words), FEATURES), np.float32)
-    for s in range(0, len(words), 256):
-        part = words[s : s + 256]
-        x[s : s + 256] = pool(vectors, np.array([len(w) for w in part]), np.concatenate(part).astype(np.int64))
-    return Classifier(vectors, train(x, y))
+    index = index_counts()
+
+    def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (np.frombuffer(r.as_py(), np.uint16) for r in batch.column(batch.num_columns - 1))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = context_sums(index, (own for batch in batches for own in unpacked(batch)))
+        if total.any():
+            yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                held[chunk] = held.get(chunk, 0) + np.frombuffer(data, np.int64)
+        if held:
+            yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["chunk", "sums"])
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Each document alone, so that its neighbours in a batch change nothing.
+            x = [pool(vectors.value, np.array([len(own)]), own.astype(np.int64))[0].tolist() for own in unpacked(batch)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+
+    with scratch():
+        # At most ``sample`` pairs of integers: bounded, so it may be broadcast.
+        found = texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(to_rows, "doc_id bigint, y int, rows binary")
+        chosen = stored(found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("rows").alias("rows")), "quality-sample", files_a_core=1)
+        total = np.zeros((CHUNKS, ROWS * DIM // CHUNKS), np.int64)
+        schema = "chunk int, sums binary"
+        for chunk, data in chosen.select("rows").mapInArrow(sums, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():
+            total[chunk] = np.frombuffer(data, np.int64)
+        table = word_vectors(index, total.reshape(ROWS, DIM))
+        vectors = docs.sparkSession.sparkContext.broadcast(table)
+        made = chosen.mapInArrow(pooled, "doc_id bigint, y int, x array<float>").orderBy("doc_id").toArrow()
+    y = (made.column("y").to_numpy() > 0).astype(np.float64)
+    x = np.asarray(made.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(y), FEATURES)
+    return Classifier(table, train(x, y))
 
 
 def score_quality(docs: DataFrame, classifier: Classifier) -> DataFrame:

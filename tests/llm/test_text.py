@@ -250,6 +250,75 @@ def test_a_fit_takes_the_whole_sample_at_full_width(spark, monkeypatch):
     assert seen == [(rows, 2 * 48 + 5)] and model.vectors.shape[1] == 2 * 48
 
 
+def plain_words(text):
+    """Runs of letters and digits, and runs of punctuation."""
+    return re.findall(rb"(?:[0-9A-Za-z\x80-\xff]|[\x00-\x08\x0e-\x1f\x7f])+|[!-/:-@\[-`{-~]+", text.encode())
+
+
+def test_a_whole_score_against_a_plain_version(spark):
+    """Index and context vectors, pooling and the network, word by word and in loops."""
+    rng = random.Random(6)
+    pool = ["good", "text", "with", "words,", "é漢", "the", "end.", "(x)", "1234"]
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(40))) if i % 2 else "junk!! " * rng.randrange(20)) for i in range(80)] + [(7, "zzz"), (7, "zzz"), (200, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, quality int")
+    model = quality.fit(frame, labels)
+    index = quality.index_counts()
+    row = {}
+    for _, counts, rows in quality.word_rows([t.encode() for _, t in docs if t]):
+        row.update(zip([w for _, t in docs if t for w in plain_words(t)], rows.tolist()))
+        assert counts.tolist() == [len(plain_words(t)) for _, t in docs if t]
+    held = {r[0] for r in frame.filter(quality.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    fitted = {}
+    for d, t in docs:  # of rows that repeat a doc_id, the one of the least words
+        if d < 80 and d not in held:
+            own = np.array([row[w] for w in plain_words(t)], np.uint16)
+            fitted[d] = min(fitted.get(d, own), own, key=lambda v: v.tobytes())
+    sums = np.zeros(index.shape, int)
+    for own in fitted.values():
+        for i, w in enumerate(own):
+            for j in range(max(0, i - 2), min(len(own), i + 3)):
+                if j != i:
+                    sums[w] += index[own[j]]
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-6)
+    for w in set(row.values()):
+        assert np.allclose(model.vectors[w], np.r_[unit(index[w].astype(float)), unit((sums if sums[w].any() else index)[w].astype(float))], atol=1e-6)
+    net = model.network
+    for r in quality.score_quality(frame, model).collect():
+        for t in {t for d, t in docs if d == r["doc_id"]}:
+            own = [row[w] for w in plain_words(t or "")]
+            x = np.zeros(quality.FEATURES)
+            if own:
+                mean = np.mean([model.vectors[w] for w in own], axis=0)
+                same = [sum(own[i] == own[i - lag] for i in range(lag, len(own))) / len(own) for lag in (1, 2)]
+                x = np.r_[mean, np.linalg.norm(mean[: quality.DIM]), np.linalg.norm(mean[quality.DIM :]), same, math.log1p(len(own)) / 8]
+            hidden = np.tanh(np.clip((x - net.mean) / net.scale, -8, 8) @ net.w1 + net.b1)
+            score = 1 / (1 + math.exp(-(hidden @ net.w2 + net.b2) / net.temperature))
+            if r["doc_id"] != 7:
+                assert r["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_training_descends_and_calibrates():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, quality.FEATURES)).astype(np.float32)
+    x[:, 2:] = 0
+    y = (x[:, 0] * x[:, 1] + 0.1 * rng.normal(size=900) > 0).astype(float)  # no line separates these
+    net = quality.train(x, y)
+    assert ((net.scores(x) >= 0.5) == y).mean() > 0.9
+    losses = [quality._loss(net.logits(x) * f / net.temperature, y) for f in (0.5, 1)]
+    assert losses[1] < losses[0] < quality._loss(np.zeros(900), y)
+
+
+def test_context_sums_of_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    index = rng.integers(-1, 2, (30, 6)).astype(np.int8)
+    docs = [rng.integers(0, 30, n).astype(np.uint16) for n in (0, 1, 2, 100, 7)]
+    whole = quality.context_sums(index, docs)
+    for size in (1, 3, 8):
+        monkeypatch.setattr(quality, "TOKENS", size)
+        assert (quality.context_sums(index, docs) == whole).all()
+
+
 def test_pooling_in_pieces(monkeypatch):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(50, 2 * quality.DIM)).astype(np.float32)

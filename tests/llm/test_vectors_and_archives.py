@@ -118,7 +118,7 @@ def test_tree_covers_its_points():
 
 def clustered(n, groups, noise, dim, seed):
     rng = np.random.default_rng(seed)
-    centres = rng.normal(size=(groups, dim))
+    centres = cover_tree._unit(rng.normal(size=(groups, dim)))
     return cover_tree._unit(centres[rng.integers(groups, size=n)] + rng.normal(size=(n, dim)) * noise)
 
 
@@ -134,7 +134,7 @@ def least_labels(hit):
 
 
 @pytest.mark.parametrize("two", [False, True])
-@pytest.mark.parametrize(("noise", "dim"), [(0.01, 64), (0.045, 64), (0.2, 64), (0.3, 8), (1.0, 3)])
+@pytest.mark.parametrize(("noise", "dim"), [(0.002, 64), (0.02, 64), (0.045, 64), (0.1, 8), (0.6, 3)])
 def test_traversal_finds_the_links_of_all_pairs(two, noise, dim):
     """Equal vectors, near ones, dense groups counted in bulk, hubs and strangers, with weights."""
     x = clustered(900, 60, noise, dim, 1)
@@ -150,14 +150,14 @@ def test_traversal_finds_the_links_of_all_pairs(two, noise, dim):
     assert links.label.tolist() == least_labels(hit).tolist()
 
 
-@pytest.mark.parametrize(("noise", "most"), [(0.03, 0.2), (0.045, 0.4)])
+@pytest.mark.parametrize(("noise", "most"), [(0.03, 0.05), (0.045, 0.12)])
 def test_traversal_prunes_most_pairs_of_clustered_vectors(noise, most):
     """4,000 vectors in 400 groups of 64 dimensions: far fewer distances than pairs, none replaced by a comparison of all."""
     x = clustered(4000, 400, noise, 64, 3)
     links = cover_tree.tile_links(x, np.ones(4000, np.int64), np.full(4000, 2), 0.93)
     assert links.measured < most * 4000 * 3999 / 2
     hit = x @ x.T >= 0.93
-    assert links.count.sum() == hit.sum() - 4000 > 100
+    assert links.count.sum() == hit.sum() - 4000 > 200
 
 
 def test_planted_links_across_cells(spark):
