@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import scratch, stored
 
 CHUNK = 16.0
 TERMS = 96  # of the distribution's table: beyond it lies less than 2 ** -53 at a mean of CHUNK
@@ -49,14 +49,13 @@ def _table(mean: Column) -> Column:
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, total: int | None) -> DataFrame:
     """source, mean, draws, cdf (of mean / draws). ``weights`` None: the same for every source."""
-    counts = docs.groupBy(F.col("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(docs.groupBy(F.col("source").alias("source")).agg(F.count(F.lit(1)).alias("n")), "sources", files_a_core=1)
     if weights is None:
         weighted = counts.withColumn("w", F.lit(1.0))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0], "key string, w double")
         weighted = counts.join(given, F.col("source").cast("string").eqNullSafe(F.col("key"))).drop("key")
-    sums = counts.crossJoin(weighted.agg(F.sum("w").alias("all_w"))).agg(F.sum("n").alias("rows"), F.max("all_w").alias("all_w")).first()
-    rows, all_w = sums["rows"] or 0, sums["all_w"] or 1.0
+    rows, all_w = counts.agg(F.sum("n")).first()[0] or 0, weighted.agg(F.sum("w")).first()[0] or 1.0
     mean = F.col("w") * F.lit(float(rows if total is None else total)) / (F.lit(float(all_w)) * F.col("n"))
     out = weighted.withColumn("mean", mean).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mean") / CHUNK)).cast("int"))
     return stored(out.withColumn("cdf", _table(F.col("mean") / F.col("draws"))).select("source", "mean", "draws", "cdf"), "rates", files_a_core=1)
@@ -65,7 +64,8 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None, total: in
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, seed: int = 1) -> DataFrame:
     """Rows of ``docs`` (doc_id, source, ...) repeated, with their copy number from 1 and the key that orders them."""
     copy, order = free_name("copy", docs.columns), free_name("order_key", docs.columns)
-    table = rates(docs, weights, total)
+    with scratch() as keep:
+        table = keep(rates(docs, weights, total))
     row = docs.select(F.struct("*").alias("doc"), F.col("source").alias("of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
     drawn = row.join(table, F.col("of").eqNullSafe(F.col("source")))
     # The uniform numbers are a column of their own, so that each is made once and not for every entry of the table.

@@ -9,7 +9,8 @@ drops the one put in front, so every text without U+2581 comes back unchanged.
 No piece crosses from a letter into a marker, so a text falls into units, one marker run and what
 follows it, that are segmented on their own and remembered, within bounds. Units that a batch brings new go
 through the trie together, one array step for all; long ones are walked singly. Tables built from the model
-are fixed by its vocabulary and broadcast.
+are fixed by its vocabulary and broadcast. A null text counts as empty, an empty table gives an empty table, repeated rows are encoded
+each, and other columns, of any name, are not read. A long text is encoded whole, in steps in proportion to it.
 """
 
 from __future__ import annotations
