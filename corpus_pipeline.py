@@ -1,4 +1,8 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again.
+
+All stages take an empty table, and give one; columns of any further name travel with their rows up to the last stage. A null text counts as
+empty. No stage looks at a row's place, so ties are settled by values alone, and a run gives the same rows again.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +15,24 @@ from lanewise.llm.exact_dedup import exact_dedup
 from lanewise.llm.minhash_dedup import minhash_dedup
 from lanewise.llm.mixing import mix_sources
 from lanewise.llm.quality import fit, quality_filter
-from lanewise.llm.shared import stored
+from lanewise.llm.shared import scratch, stored
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least one half."""
+    """Documents whose quality score is at least one half, rows without doc_id or text among them; repeated rows share their score.
+
+    The labels of held-out documents are not read. Without usable labels every score is one half, and all rows stay.
+    """
     return quality_filter(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, also where its doc_id is null or repeated."""
+    """One row of each group of equal texts, null and empty ones together: that of the largest doc_id, and of its rows the least.
+
+    Where all doc_ids of a group are null, the least row stays.
+    """
     keys = {"doc_id": F.col("doc_id").cast("bigint"), "text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
     found = exact_dedup(docs)
     dropped = found.filter("not kept").select(*keys)
@@ -34,18 +44,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest doc_id.
+
+    Rows without doc_id or without words are linked with nothing and stay; rows of one doc_id share its fate.
+    """
     dropped = minhash_dedup(docs, NEAR_WORDS, NEAR_PERCENT).filter("not kept")
     return without(docs, dropped, {"doc_id": F.col("doc_id").cast("bigint")})
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same share of every source, by repetition; as many rows as came in, on average."""
+    """The same share of every source, a null one among them, by repetition; as many rows as came in, on average.
+
+    Rows of one doc_id, and all rows without one, share their number of copies.
+    """
     return mix_sources(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of every row."""
+    """doc_id and token ids of every row; a row without text has no ids."""
     return pieces.encode(docs)
 
 
@@ -58,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with scratch() as keep:  # what a stage stored on its way is removed when its rows are written
+            docs = keep(stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower()))
     return docs
