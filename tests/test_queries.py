@@ -34,3 +34,16 @@ def test_filter_and_columns_reach_the_scan(spark, sf_dir, capsys):
 def test_latest_row_drops_losers_before_the_shuffle(spark, sf_dir, capsys):
     QUERIES["latest_shipment"](spark, sf_dir).explain()
     assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "lanewise.llm", "corpus_pipeline"])
+def test_entry_without_what_the_training_data_queries_need(missing):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"import sys; sys.modules[{missing!r}] = None\nimport __spark_entry__ as e\nprint(*e.queries())\nassert set(e.oracle_sql()) <= set(e.queries())"
+    root = str(Path(__file__).resolve().parents[1])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root}, check=True).stdout.split()
+    assert set(QUERIES) <= set(out) and "pipeline" not in out
