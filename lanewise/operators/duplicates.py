@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanewise.sources.contracts import contract_for
 
@@ -39,8 +40,12 @@ def duplicate_records(df: DataFrame, key_columns: Sequence[str]) -> DataFrame:
 
 
 def split_by_duplicates(df: DataFrame, key_columns: Sequence[str], order_by: Sequence[str] = (), ties: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(first row of each key by ``order_by`` descending, all other rows)"""
+    """(first row of each key by ``order_by`` descending, then by ``ties`` ascending, all other rows)
+
+    Every further column that can be ordered decides last, so that both parts, which are computed apart, agree on the first row.
+    """
     _need_keys(df, key_columns)
-    by = [F.col(c).desc_nulls_last() for c in order_by] + [F.col(c).asc_nulls_last() for c in ties]
+    rest = [f.name for f in df.schema if f.name not in {*key_columns, *order_by, *ties} and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    by = [F.col(c).desc_nulls_last() for c in order_by] + [F.col(c).asc_nulls_last() for c in (*ties, *rest)]
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*key_columns).orderBy(*(by or [F.lit(1)]))))
     return ranked.filter("__rank = 1").drop("__rank"), ranked.filter("__rank > 1").drop("__rank")

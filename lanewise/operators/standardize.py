@@ -44,9 +44,10 @@ def standardize_carrier_names(df: DataFrame, carrier_name_column: str = "carrier
     return _mapped(df, [carrier_name_column], C.carrier_name)
 
 
-def standardize_columns(df: DataFrame) -> DataFrame:
-    """Clean texts, then states, regions, statuses, event types and carrier names."""
-    steps = (clean_text_columns, normalize_state_code_values, normalize_region_code_values, standardize_status_values, standardize_event_type_values, standardize_carrier_names)
-    for step in steps:
-        df = df.transform(step)
-    return df
+def standardize_columns(df: DataFrame, done: Sequence[str] = ()) -> DataFrame:
+    """Clean texts, then states, regions, statuses, event types and carrier names; columns of ``done`` are clean already."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in done]
+    df = clean_text_columns(df, texts) if texts else df
+    codes = dict.fromkeys(STATE_COLUMNS, C.state_code) | dict.fromkeys(REGION_COLUMNS, C.region_code) | dict.fromkeys(("status", "event_type"), C.status_code) | {"carrier_name": C.carrier_name}
+    there = {n: f(F.col(n)) for n, f in codes.items() if n in df.columns}
+    return df.withColumns(there) if there else df

@@ -83,7 +83,62 @@ _SHIP = "shipment_id, carrier_id, origin_state, destination_state, pickup_ts, pr
 _FCT = "shipment_id, carrier_id, origin_state, destination_state, origin_region_code, region_code, pickup_ts, promised_delivery_ts, actual_delivery_ts, updated_at, shipping_cost_usd, distance_miles, delivered_flag, on_time_delivery_flag, delay_minutes, exception_flag, transit_time_hours, p_date"
 _SHIP_ERRORS = "CASE WHEN promised_delivery_ts < pickup_ts THEN 'invalid_time_order:promised_delivery_ts_before_pickup_ts' END, CASE WHEN actual_delivery_ts < pickup_ts THEN 'invalid_time_order:actual_delivery_ts_before_pickup_ts' END"
 
+# Source lines with planted faults: what must come of them.
+_SECOND = lambda c: f"date_trunc('second', {c})"
+STEPS["csv_ship"] = f"""
+      SELECT l_orderkey % 20 AS k, 'S' || l_orderkey || '-' || l_linenumber AS shipment_id, CASE WHEN l_orderkey % 20 <> 0 THEN 'C' || l_suppkey END AS carrier_id,
+        CASE WHEN l_orderkey % 20 = 1 THEN 'ABC' ELSE chr((65 + l_suppkey % 26)::INTEGER) || 'X' END AS origin_state, CASE WHEN l_orderkey % 20 <> 5 THEN chr((65 + l_orderkey % 26)::INTEGER) || 'X' END AS destination_state,
+        CASE WHEN l_orderkey % 20 <> 5 THEN {_SECOND('o_orderdate')} END AS pickup_ts,
+        CASE WHEN l_orderkey % 20 = 8 THEN {_SECOND('o_orderdate')} - INTERVAL 1 DAY WHEN l_orderkey % 20 NOT IN (4, 5, 13) THEN {_SECOND('o_orderdate')} + INTERVAL 10 DAY END AS promised_delivery_ts,
+        CASE WHEN l_linestatus = 'F' AND l_orderkey % 20 <> 5 THEN {_SECOND('l_shipdate')} END AS actual_delivery_ts,
+        CASE WHEN l_orderkey % 20 = 2 THEN -1.5::DOUBLE WHEN l_orderkey % 20 <> 5 THEN l_extendedprice END AS shipping_cost_usd,
+        CASE WHEN l_orderkey % 20 NOT IN (3, 5, 15) THEN l_quantity END AS distance_miles, CASE WHEN l_orderkey % 20 NOT IN (5, 9) THEN {_SECOND('l_shipdate')} END AS updated_at
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+_MISSING = lambda *names: ", ".join(f"CASE WHEN {n} IS NULL THEN 'missing_required:{n}' END" for n in names)
+STEPS["csv_ship2"] = f"""
+      SELECT *, concat_ws(',', CASE WHEN k IN (5, 6) THEN 'corrupt_record' END, {_MISSING('shipment_id', 'carrier_id', 'origin_state', 'destination_state', 'pickup_ts', 'promised_delivery_ts', 'updated_at')},
+        CASE WHEN length(origin_state) <> 2 THEN 'invalid_length:origin_state' END, CASE WHEN k = 4 THEN 'invalid_timestamp:promised_delivery_ts' END, CASE WHEN shipping_cost_usd < 0 THEN 'below_min:shipping_cost_usd' END,
+        CASE WHEN k = 3 THEN 'invalid_double:distance_miles' END, {_SHIP_ERRORS}) AS errors FROM csv_ship"""
+STEPS["csv_ev"] = f"""
+      SELECT event_id % 20 AS k, 'E' || event_id AS event_id, 'S' || user_id AS shipment_id,
+        CASE event_id % 20 WHEN 0 THEN 'TELEPORTED' WHEN 1 THEN NULL ELSE CASE event_type WHEN 'click' THEN 'DELIVERY_ATTEMPT' WHEN 'view' THEN 'IN_TRANSIT' WHEN 'purchase' THEN 'DELIVERED' WHEN 'signup' THEN 'PICKED_UP' WHEN 'error' THEN 'EXCEPTION' ELSE 'HOLD' END END AS event_type,
+        CASE WHEN event_id % 20 <> 2 THEN {_SECOND('ts')} END AS event_ts, CASE WHEN event_id % 20 = 3 THEN 'New, York' END AS event_city, CASE WHEN event_id % 20 = 4 THEN 'TXX' ELSE 'TX' END AS event_state,
+        CASE WHEN event_id % 2 = 1 THEN 'WEATHER' END AS delay_reason, CASE event_id % 20 WHEN 6 THEN 0 WHEN 7 THEN NULL WHEN 8 THEN 2 WHEN 9 THEN NULL ELSE user_id % 3 + 1 END::INTEGER AS attempt_number,
+        {_SECOND('ts')} - CASE WHEN event_id % 20 = 10 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS updated_at
+      FROM events"""
+STEPS["csv_ev2"] = f"""
+      SELECT *, concat_ws(',', {_MISSING('event_type', 'event_ts')}, CASE WHEN event_type = 'TELEPORTED' THEN 'invalid_value:event_type' END, CASE WHEN k = 2 THEN 'invalid_timestamp:event_ts' END,
+        CASE WHEN length(event_state) <> 2 THEN 'invalid_length:event_state' END, CASE WHEN k = 9 THEN 'invalid_int:attempt_number' END, CASE WHEN attempt_number < 1 THEN 'below_min:attempt_number' END,
+        CASE WHEN event_type IN ('DELIVERY_ATTEMPT', 'DELIVERED') AND attempt_number IS NULL THEN 'missing_required:attempt_number_for_delivery_event' END,
+        CASE WHEN event_type IN ('DELAYED', 'EXCEPTION', 'HOLD') AND delay_reason IS NULL THEN 'missing_required:delay_reason_for_delay_or_exception' END,
+        CASE WHEN updated_at < event_ts THEN 'invalid_time_order:updated_at_before_event_ts' END) AS errors FROM csv_ev"""
+STEPS["csv_carr"] = """
+      SELECT 'C' || s_suppkey AS carrier_id, CASE WHEN s_suppkey % 10 <> 1 THEN s_name END AS carrier_name, CASE WHEN s_suppkey % 10 = 2 THEN 'TOOLONG' ELSE 'ABCD' END AS scac, CASE WHEN s_suppkey % 10 = 3 THEN 'AIR' ELSE 'LTL' END AS service_mode,
+        'WEST' AS home_region_code, CASE s_suppkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS is_active, TIMESTAMP '2024-01-01' AS updated_at,
+        concat_ws(',', CASE WHEN s_suppkey % 10 = 1 THEN 'missing_required:carrier_name' END, CASE WHEN s_suppkey % 10 = 2 THEN 'invalid_length:scac' END, CASE WHEN s_suppkey % 10 = 3 THEN 'invalid_value:service_mode' END,
+          CASE WHEN s_suppkey % 5 = 4 THEN 'invalid_boolean:is_active' END) AS errors FROM supplier"""
+STEPS["faulty"] = "SELECT * REPLACE (CASE WHEN carrier_id <> 'CAR1' THEN carrier_id END AS carrier_id, CASE WHEN distance_miles > 49 THEN -shipping_cost_usd ELSE shipping_cost_usd END AS shipping_cost_usd) FROM ship"
+STEPS["broken"] = """
+      SELECT *, 'required_nulls' AS rule_name, 'carrier_id' AS reason FROM faulty WHERE carrier_id IS NULL
+      UNION ALL SELECT *, 'duplicate_keys', 'duplicate_key:shipment_id' FROM faulty WHERE shipment_id IN (SELECT shipment_id FROM faulty GROUP BY shipment_id HAVING count(*) > 1)
+      UNION ALL SELECT *, 'non_negative:shipping_cost_usd', 'negative_value:shipping_cost_usd:' || shipping_cost_usd FROM faulty WHERE shipping_cost_usd < 0
+      UNION ALL SELECT *, 'timestamp_order:pickup_ts->promised_delivery_ts', 'invalid_timestamp_order:pickup_ts->promised_delivery_ts' FROM faulty WHERE promised_delivery_ts < pickup_ts
+      UNION ALL SELECT *, 'timestamp_order:pickup_ts->actual_delivery_ts', 'invalid_timestamp_order:pickup_ts->actual_delivery_ts' FROM faulty WHERE actual_delivery_ts < pickup_ts"""
+#: The one schema finding is that the derived shipment_id is never null, while the contract of a typed frame allows nulls.
+_RULES = ("required_nulls", "duplicate_keys", "non_negative:shipping_cost_usd", "non_negative:distance_miles", "timestamp_order:pickup_ts->promised_delivery_ts", "timestamp_order:pickup_ts->actual_delivery_ts")
+
 _BODIES = {
+    "csv_shipments_valid": f"SELECT {_SHIP} FROM csv_ship2 WHERE errors = ''",
+    "csv_shipments_errors": "SELECT shipment_id, errors FROM csv_ship2 WHERE errors <> ''",
+    "csv_events_valid": "SELECT event_id, shipment_id, event_type, event_ts, event_city, event_state, delay_reason, attempt_number, updated_at FROM csv_ev2 WHERE errors = ''",
+    "csv_events_errors": "SELECT event_id, errors FROM csv_ev2 WHERE errors <> ''",
+    "csv_carriers_valid": "SELECT * EXCLUDE (errors) FROM csv_carr WHERE errors = ''",
+    "csv_carriers_errors": "SELECT carrier_id, errors FROM csv_carr WHERE errors <> ''",
+    "csv_quarantine": "SELECT c.carrier_id, ['Yes', 'n', 'TRUE', '0', 'perhaps'][(s_suppkey % 5 + 1)::INTEGER] AS __raw_is_active, 'carriers' AS entity, TIMESTAMP '2024-01-31' AS ingested_at, errors FROM csv_carr c JOIN supplier ON c.carrier_id = 'C' || s_suppkey WHERE errors <> ''",
+    "quality_rules_run": "SELECT rule_name, n AS failed_count, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM (SELECT r.rule_name, count(b.rule_name) AS n FROM (VALUES " + ", ".join(f"('{r}')" for r in _RULES) + ") r(rule_name) LEFT JOIN broken b USING (rule_name) GROUP BY r.rule_name UNION ALL SELECT 'schema_drift', 1) UNION ALL SELECT 'all', count(*), CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM broken",
+    "quality_rules_clean": "SELECT shipment_id, carrier_id, updated_at FROM faulty WHERE shipment_id NOT IN (SELECT shipment_id FROM broken)",
+    "quality_rules_invalid": "SELECT rule_name, reason, count(*) AS n_rows FROM broken GROUP BY ALL",
+    "catalog_roundtrip": "SELECT carrier_id, carrier_name, service_mode, region_code, p_date FROM dim",
     "scan_shipments": "SELECT * FROM ship",
     "scan_lineitem_pruned": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_linestatus = 'F'",
     "region_lookup": "SELECT * FROM lookup",

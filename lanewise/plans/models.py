@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions import columns as C
-from lanewise.operators.latest import latest_carriers, latest_events, latest_shipments
+from lanewise.operators.latest import SHIPMENT_TIES, latest_carriers, latest_events, latest_shipments
 from lanewise.operators.regions import enrich_delivery_events_with_region, enrich_shipments_with_region
 from lanewise.operators.standardize import normalize_region_code_values, standardize_carrier_names, standardize_columns
 
@@ -21,6 +21,11 @@ def _keyed(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.upper(F.trim(F.col(n))) for n in there}) if there else df
 
 
+def _tidy_key(df: DataFrame, name: str) -> DataFrame:
+    """The key as ``standardize_columns`` and ``_keyed`` make it, so that the latest row can be taken before the rest is standardized."""
+    return df.withColumn(name, F.upper(C.clean_text(F.col(name)))) if name in df.columns else df
+
+
 def _present(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(n for n in names if n in df.columns))
 
@@ -49,9 +54,9 @@ def build_fct_shipment(stg_shipments_df: Any, region_lookup_df: Any = None) -> A
     """A shipment's latest row, with its regions, delivery flags, delay, transit time and pick-up day."""
     if not isinstance(stg_shipments_df, DataFrame):
         return stg_shipments_df
-    rows = latest_shipments(_keyed(standardize_columns(stg_shipments_df), "shipment_id", "carrier_id"))
+    rows = _keyed(standardize_columns(latest_shipments(_tidy_key(stg_shipments_df, "shipment_id")), ["shipment_id"]), "carrier_id")
     if isinstance(region_lookup_df, DataFrame):
-        rows = enrich_shipments_with_region(rows, region_lookup_df)
+        rows = enrich_shipments_with_region(rows, region_lookup_df, tidy=True)
     picked, promised, actual = F.col("pickup_ts"), F.col("promised_delivery_ts"), F.col("actual_delivery_ts")
     overdue = actual.isNull() & (F.col("updated_at") > promised)
     rows = rows.withColumns(
@@ -72,6 +77,7 @@ def build_fct_shipment(stg_shipments_df: Any, region_lookup_df: Any = None) -> A
     )
 
 
+_SHIPMENT_NEEDS = ("carrier_id", "destination_state", "region_code", "pickup_ts", "promised_delivery_ts", "updated_at")
 _OF_SHIPMENT = {"carrier_id": "__carrier", "pickup_ts": "__picked", "promised_delivery_ts": "__promised", "__region": "__shipment_region", "region_code": "__base_region"}
 
 
@@ -80,13 +86,17 @@ def build_fct_delivery_event(stg_events_df: Any, stg_shipments_df: Any = None, r
     if not isinstance(stg_events_df, DataFrame):
         return stg_events_df
     looked_up = isinstance(region_lookup_df, DataFrame)
-    rows = latest_events(_keyed(standardize_columns(stg_events_df), "event_id", "shipment_id"))
+    rows = _keyed(standardize_columns(latest_events(_tidy_key(stg_events_df, "event_id")), ["event_id"]), "shipment_id")
     if looked_up:
-        rows = enrich_delivery_events_with_region(rows, region_lookup_df, "event_state", "__event_region")
+        rows = enrich_delivery_events_with_region(rows, region_lookup_df, "event_state", "__event_region", tidy=True)
     if isinstance(stg_shipments_df, DataFrame):
-        shipments = latest_shipments(_keyed(standardize_columns(stg_shipments_df), "shipment_id", "carrier_id"))
+        if "delivered_flag" in stg_shipments_df.columns:
+            shipments = stg_shipments_df  # shipment facts: one tidy row a shipment
+        else:
+            needed = _present(_tidy_key(stg_shipments_df, "shipment_id"), *dict.fromkeys(("shipment_id", *_SHIPMENT_NEEDS, *SHIPMENT_TIES)))
+            shipments = _keyed(standardize_columns(_present(latest_shipments(needed), "shipment_id", *_SHIPMENT_NEEDS), ["shipment_id"]), "carrier_id")
         if looked_up:
-            shipments = enrich_shipments_with_region(shipments, region_lookup_df, output_region_column="__region", include_origin_region=False)
+            shipments = enrich_shipments_with_region(shipments, region_lookup_df, output_region_column="__region", include_origin_region=False, tidy=True)
         shipments = _present(shipments, "shipment_id", *_OF_SHIPMENT).withColumnsRenamed(_OF_SHIPMENT)
         rows = rows.join(shipments, "shipment_id", "left")
     else:

@@ -13,8 +13,9 @@ from lanewise.functions import columns as C
 from lanewise.operators import duplicates, latest, nulls, regions, rules, standardize
 from lanewise.operators.drift import detect_schema_drift
 from lanewise.plans import models, publish, sql_models, staging
-from lanewise.sources.contracts import DELIVERY_EVENTS, SHIPMENTS
-from lanewise.sources.ingest import ERRORS, VALID
+from lanewise.plans.jobs import rule_context
+from lanewise.sources.contracts import CARRIERS, DELIVERY_EVENTS, SHIPMENTS
+from lanewise.sources.ingest import ERRORS, VALID, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,6 +92,51 @@ def error_array(s):
     return rows.select(F.explode(ERRORS).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _ids_and_errors(invalid, key):
+    return invalid.select(key, F.array_join(ERRORS, ",").alias("errors"))
+
+
+@query
+def csv_shipments_valid(s):
+    """Source lines read by contract: trimmed, cased and parsed."""
+    return s.ingested(SHIPMENTS, s.shipment_lines()).valid
+
+
+@query
+def csv_shipments_errors(s):
+    return _ids_and_errors(s.ingested(SHIPMENTS, s.shipment_lines()).invalid, "shipment_id")
+
+
+@query
+def csv_events_valid(s):
+    return s.ingested(DELIVERY_EVENTS, s.event_lines()).valid
+
+
+@query
+def csv_events_errors(s):
+    return _ids_and_errors(s.ingested(DELIVERY_EVENTS, s.event_lines()).invalid, "event_id")
+
+
+@query
+def csv_carriers_valid(s):
+    return s.ingested(CARRIERS, s.carrier_lines()).valid
+
+
+@query
+def csv_carriers_errors(s):
+    return _ids_and_errors(s.ingested(CARRIERS, s.carrier_lines()).invalid, "carrier_id")
+
+
+@query
+def csv_quarantine(s):
+    """Invalid rows as the quarantine keeps them: their texts, errors and source."""
+    base = f"{s.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarantine-{uuid.uuid4().hex}"
+    s.carrier_lines().write.text(f"{base}/lines")
+    ingest(s.spark, CARRIERS, f"{base}/lines", f"{base}/bad", {"header": "false"}, ingested_at="2024-01-31 00:00:00")
+    kept = s.spark.read.parquet(f"{base}/bad/carriers")
+    return kept.select("carrier_id", "__raw_is_active", "entity", "ingested_at", F.array_join(ERRORS, ",").alias("errors"))
+
+
 @query
 def bool_parse(s):
     text = F.element_at(F.array(*(F.lit(x) for x in ("Yes", "no", "T", "0", "maybe", ""))), (F.col("c_custkey") % 6 + 1).cast("int"))
@@ -169,6 +215,33 @@ def quality_summary(s):
     return counts.select(F.inline(F.array(*(F.struct(F.lit(r.name).alias("rule_name"), F.col(f"`{r.name}`").alias("failed_count")) for r in listed))))
 
 
+def _faulty_shipments(s):
+    return s.shipments().withColumns({"carrier_id": F.when(F.col("carrier_id") != "CAR1", F.col("carrier_id")), "shipping_cost_usd": F.when(F.col("distance_miles") > 49, -F.col("shipping_cost_usd")).otherwise(F.col("shipping_cost_usd"))})
+
+
+def _checked_rules(s):
+    df = _faulty_shipments(s)
+    return rules.run_quality_rules(rule_context(SHIPMENTS, df))
+
+
+@query
+def quality_rules_run(s):
+    """All rules of a contract in one run: their counts and states, and the rows that they find."""
+    out = _checked_rules(s)
+    listed = [(r["rule_name"], r["failed_count"], r["status"]) for r in out["rule_results"]]
+    return s.spark.createDataFrame([*listed, ("all", out["invalid_count"], out["status"])], "rule_name string, failed_count bigint, status string")
+
+
+@query
+def quality_rules_clean(s):
+    return _checked_rules(s)["clean_df"].select("shipment_id", "carrier_id", "updated_at")
+
+
+@query
+def quality_rules_invalid(s):
+    return _checked_rules(s)["invalid_df"].groupBy(F.col(rules.NAME).alias("rule_name"), F.col(rules.REASON).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def union_by_name_invalid(s):
     df = s.shipments()
@@ -299,8 +372,14 @@ def _events(s):
     return models.build_fct_delivery_event(staging.stage_delivery_events(s.valid_events()), staging.stage_shipments(s.valid_shipments()), s.lookup())
 
 
+def _events_of(s, fct):
+    """Events from the shipment facts, so that the shipments are read and ranked once."""
+    return models.build_fct_delivery_event(staging.stage_delivery_events(s.valid_events()), fct, s.lookup())
+
+
 def _kpi(s):
-    return models.build_kpi_delivery_daily(models.build_agg_shipment_daily(_fct(s)), _events(s))
+    fct = _fct(s)
+    return models.build_kpi_delivery_daily(models.build_agg_shipment_daily(fct), _events_of(s, fct))
 
 
 @query
@@ -317,8 +396,9 @@ def event_shipment_left_join(s):
 
 @query
 def agg_event_left_join(s):
-    per_day = _fct(s).groupBy(*models.GRAIN).agg(F.count(F.lit(1)).alias("shipments"))
-    counts = models.delivery_event_metrics(_events(s)).select(*models.GRAIN, "total_delivery_events")
+    fct = _fct(s)
+    per_day = fct.groupBy(*models.GRAIN).agg(F.count(F.lit(1)).alias("shipments"))
+    counts = models.delivery_event_metrics(_events_of(s, fct)).select(*models.GRAIN, "total_delivery_events")
     return per_day.join(counts, models.GRAIN, "left").withColumn("total_delivery_events", F.coalesce("total_delivery_events", F.lit(0).cast("bigint")))
 
 
@@ -375,7 +455,8 @@ def kpi_by_region(s):
 
 @query
 def union_all_checks(s):
-    fct, events = _fct(s), _events(s)
+    fct = _fct(s)
+    events = _events_of(s, fct)
     return sql_models.run_model(s.spark, sql_models.NULL_CHECKS, fct_shipment=fct.withColumn("carrier_id", F.when(F.col("carrier_id") != "CAR1", F.col("carrier_id"))), dim_carrier=models.build_dim_carrier(s.valid_carriers(), RUN_DATE), fct_delivery_event=events)
 
 
@@ -386,9 +467,10 @@ def duplicate_checks(s):
 
 @query
 def reconciliation_join(s):
+    fct = _fct(s)
     return sql_models.run_model(
         s.spark, sql_models.RECONCILIATION, stg_shipments=s.shipments(), stg_carriers=s.carriers(), stg_delivery_events=s.events(),
-        fct_shipment=_fct(s), dim_carrier=models.build_dim_carrier(s.valid_carriers(), RUN_DATE), fct_delivery_event=_events(s),
+        fct_shipment=fct, dim_carrier=models.build_dim_carrier(s.valid_carriers(), RUN_DATE), fct_delivery_event=_events_of(s, fct),
     )
 
 
@@ -430,8 +512,10 @@ def _sql_fct(s):
     return sql_models.run_model(s.spark, sql_models.FCT_SHIPMENT, shipments=staging.stage_shipments(s.valid_shipments()), lookup=regions.prepare_region_lookup(s.lookup()))
 
 
-def _sql_events(s):
-    return sql_models.run_model(s.spark, sql_models.FCT_DELIVERY_EVENT, events=staging.stage_delivery_events(s.valid_events()), shipments=staging.stage_shipments(s.valid_shipments()), lookup=regions.prepare_region_lookup(s.lookup()))
+def _sql_events(s, fct=None):
+    """From the shipment facts, if they are there."""
+    shipments = staging.stage_shipments(s.valid_shipments()) if fct is None else fct
+    return sql_models.run_model(s.spark, sql_models.FCT_DELIVERY_EVENT, events=staging.stage_delivery_events(s.valid_events()), shipments=shipments, lookup=regions.prepare_region_lookup(s.lookup()))
 
 
 @query
@@ -446,13 +530,26 @@ def sql_fct_delivery_event(s):
 
 @query
 def sql_agg_shipment_daily(s):
-    return sql_models.run_model(s.spark, sql_models.AGG_SHIPMENT_DAILY, fct_shipment=_sql_fct(s), fct_delivery_event=_sql_events(s))
+    fct = _sql_fct(s)
+    return sql_models.run_model(s.spark, sql_models.AGG_SHIPMENT_DAILY, fct_shipment=fct, fct_delivery_event=_sql_events(s, fct))
 
 
 @query
 def sql_kpi_delivery_daily(s):
-    agg = sql_models.run_model(s.spark, sql_models.AGG_SHIPMENT_DAILY, fct_shipment=_sql_fct(s), fct_delivery_event=_sql_events(s))
-    return sql_models.run_model(s.spark, sql_models.KPI_DELIVERY_DAILY, agg_shipment_daily=agg, fct_delivery_event=_sql_events(s))
+    fct = _sql_fct(s)
+    events = _sql_events(s, fct)
+    agg = sql_models.run_model(s.spark, sql_models.AGG_SHIPMENT_DAILY, fct_shipment=fct, fct_delivery_event=events)
+    return sql_models.run_model(s.spark, sql_models.KPI_DELIVERY_DAILY, agg_shipment_daily=agg, fct_delivery_event=events)
+
+
+@query
+def catalog_roundtrip(s):
+    """A table written by its partitions, registered, and read by its name; the database is a fresh one."""
+    name = f"lanewise_{uuid.uuid4().hex}"
+    at = f"{s.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
+    carriers = models.build_dim_carrier(staging.stage_carriers(s.valid_carriers()), RUN_DATE)
+    publish.write_partitioned_table(carriers, "dim_carrier", at, ["p_date", "region_code"], database=name)
+    return s.spark.table(f"{name}.dim_carrier").select("carrier_id", "carrier_name", "service_mode", "region_code", "p_date")
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CSV_DEFAULTS = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssX"}
+_URI = re.compile(r"([a-z][a-z0-9+.-]+):(?://(?=/))?", re.IGNORECASE)
 CLOUD = re.compile(r"^s3[an]?://", re.IGNORECASE)
 
 
@@ -23,8 +24,9 @@ def join_path(base: str, *parts: str) -> str:
 
 
 def path_exists(path: str) -> bool:
-    """Local paths are looked up; object-store paths are taken to exist."""
-    return is_cloud_path(path) or Path(path).exists()
+    """Local paths, file URIs among them, are looked up; paths of other file systems are taken to exist."""
+    uri = _URI.match(str(path))
+    return Path(str(path)[uri.end() :] if uri else path).exists() if uri is None or uri[1] == "file" else True
 
 
 def _text(options: Mapping[str, Any] | None) -> dict[str, str]:

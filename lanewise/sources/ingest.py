@@ -8,6 +8,8 @@ entity's own rules.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,41 +29,44 @@ class Ingested(NamedTuple):
     invalid: DataFrame  # contract columns, raw texts and errors
 
 
-def _error(when: Column, code: str) -> Column:
-    return F.when(when, F.lit(code))
+class Error(NamedTuple):
+    """A row has the error where ``when`` is true; null is not true."""
 
+    when: Column
+    code: str
 
-def _before(late: str, early: str) -> Column:
-    return _error(F.col(late) < F.col(early), f"invalid_time_order:{late}_before_{early}")
 
+def _before(late: str, early: str) -> Error:
+    return Error(F.col(late) < F.col(early), f"invalid_time_order:{late}_before_{early}")
 
-def entity_errors(entity: str) -> list[Column]:
+
+def entity_errors(entity: str) -> list[Error]:
     """Rules across columns."""
     if entity == "shipments":
         return [_before("promised_delivery_ts", "pickup_ts"), _before("actual_delivery_ts", "pickup_ts")]
     if entity == "delivery_events":
         kind = F.col("event_type")
         return [
-            _error(kind.isin("DELIVERY_ATTEMPT", "DELIVERED") & F.col("attempt_number").isNull(), "missing_required:attempt_number_for_delivery_event"),
-            _error(kind.isin("DELAYED", "EXCEPTION", "HOLD") & F.col("delay_reason").isNull(), "missing_required:delay_reason_for_delay_or_exception"),
+            Error(kind.isin("DELIVERY_ATTEMPT", "DELIVERED") & F.col("attempt_number").isNull(), "missing_required:attempt_number_for_delivery_event"),
+            Error(kind.isin("DELAYED", "EXCEPTION", "HOLD") & F.col("delay_reason").isNull(), "missing_required:delay_reason_for_delay_or_exception"),
             _before("updated_at", "event_ts"),
         ]
     return []
 
 
-def _column_errors(spec: ColumnSpec, ranges: bool) -> list[Column]:
+def _column_errors(spec: ColumnSpec, ranges: bool) -> list[Error]:
     value, name = F.col(spec.name), spec.name
     out = []
     if spec.kind != "string":
-        out.append(_error(F.col(f"__raw_{name}").isNotNull() & value.isNull(), f"invalid_{spec.type.lower()}:{name}"))
+        out.append(Error(F.col(f"__raw_{name}").isNotNull() & value.isNull(), f"invalid_{spec.type.lower()}:{name}"))
     if spec.length is not None:
-        out.append(_error(F.length(value.cast("string")) != int(spec.length), f"invalid_length:{name}"))
+        out.append(Error(F.length(value.cast("string")) != int(spec.length), f"invalid_length:{name}"))
     if ranges and spec.min is not None:
-        out.append(_error(value < F.lit(spec.min), f"below_min:{name}"))
+        out.append(Error(value < F.lit(spec.min), f"below_min:{name}"))
     if ranges and spec.max is not None:
-        out.append(_error(value > F.lit(spec.max), f"above_max:{name}"))
+        out.append(Error(value > F.lit(spec.max), f"above_max:{name}"))
     if spec.allowed is not None:
-        out.append(_error(~value.cast("string").isin(*spec.allowed), f"invalid_value:{name}"))
+        out.append(Error(~value.cast("string").isin(*spec.allowed), f"invalid_value:{name}"))
     return out
 
 
@@ -76,12 +81,14 @@ def typed(raw: DataFrame, contract: Contract) -> DataFrame:
 
 def checked(frame: DataFrame, contract: Contract) -> DataFrame:
     """``typed`` rows with their errors and whether they have none."""
-    codes = [_error(F.col(CORRUPT).isNotNull(), "corrupt_record")] if CORRUPT in frame.columns else []
-    codes += [_error(F.col(c).isNull(), f"missing_required:{c}") for c in contract.required_columns]
+    codes = [Error(F.col(CORRUPT).isNotNull(), "corrupt_record")] if CORRUPT in frame.columns else []
+    codes += [Error(F.col(c).isNull(), f"missing_required:{c}") for c in contract.required_columns]
     codes += [e for c in contract.columns for e in _column_errors(c, contract.checks_range)]
     codes += entity_errors(contract.entity)
-    errors = F.array_compact(F.array(*codes)) if codes else F.array()
-    return frame.withColumn(ERRORS, errors.cast("array<string>")).withColumn(VALID, F.size(ERRORS) == 0)
+    errors = F.array_compact(F.array(*(F.when(e.when, F.lit(e.code)) for e in codes))) if codes else F.array()
+    # Validity by itself needs no array: it is cheap, and the array is pruned where only valid rows go on.
+    valid = reduce(and_, (~F.coalesce(e.when, F.lit(False)) for e in codes), F.lit(True))
+    return frame.withColumns({ERRORS: errors.cast("array<string>"), VALID: valid})
 
 
 def validate(raw: DataFrame, contract: Contract) -> Ingested:
@@ -95,8 +102,7 @@ def read_raw(spark: SparkSession, contract: Contract, path: str, options: Mappin
     Column pruning would let Spark skip the fields that show a row to be malformed, so the reader is told not to prune.
     """
     own = {k: v for k, v in contract.options.items() if not k.startswith("timestamp_format")}
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return read_csv(spark, path, contract.raw_schema(), own | {"columnNameOfCorruptRecord": CORRUPT} | dict(options or {}))
+    return read_csv(spark, path, contract.raw_schema(), own | {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"} | dict(options or {}))
 
 
 def ingest(spark: SparkSession, contract: Contract, path: str, bad_records_path: str | None = None, options: Mapping[str, Any] | None = None, ingested_at: str | None = None) -> DataFrame:

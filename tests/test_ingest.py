@@ -95,6 +95,7 @@ def test_files(spark, tmp_path):
     for missing in (lambda: files.source_path(base, "events", "2026-01-01"), lambda: files.read_csv(spark, base + "/no.csv"), lambda: files.region_lookup_path(base)):
         with pytest.raises(FileNotFoundError):
             missing()
+    assert files.path_exists(f"file://{base}/carriers.csv") and files.path_exists(f"file:{base}") and not files.path_exists(f"file:{base}/no") and files.path_exists("hdfs://n/x")
     frame = spark.range(3).withColumn("b", F.lit("x"))
     for fmt in ("json", "csv", "parquet"):
         at = files.write_frame(frame, f"{base}/{fmt}", fmt)
