@@ -87,7 +87,7 @@ def stored(df: DataFrame, name: str, files_a_core: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``files_a_core`` bounds the files of a table that a shuffle would leave in many small ones: 1 for what stays small, 4 for
-    ids, counts and links that grow with the input, 0 for no bound. Its partitions are run through one after the other, never held together.
+    ids, counts and links that grow with the input, 0 for no bound, as whole texts and sets need. Its partitions are run through one after the other, never held together.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
