@@ -9,7 +9,7 @@ from lanewise.operators.regions import enrich_delivery_events_with_region, enric
 from lanewise.operators.rules import quarantine_bad_records, run_quality_rules, validate_allowed_values, validate_non_negative, validate_timestamp_order
 from lanewise.operators.standardize import clean_text_columns, normalize_region_code_values, normalize_state_code_values, standardize_carrier_names, standardize_columns, standardize_event_type_values, standardize_status_values
 from lanewise.plans.jobs import run_backfill_batch, run_daily_batch
-from lanewise.plans.logs import build_audit_record, configure_logging, get_logger
+from lanewise.plans.logs import build_audit_record, emit_batch_metrics, configure_logging, get_logger
 from lanewise.plans.models import build_agg_shipment_daily, build_dim_carrier, build_fct_delivery_event, build_fct_shipment, build_kpi_delivery_daily
 from lanewise.plans.publish import ensure_curated_database, ensure_partition_columns, register_parquet_table, required_partition_columns, table_exists, write_partitioned_table
 from lanewise.plans.session import build_spark_conf, create_spark_session, create_spark_session_from_config, stop_spark_session

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping
 from typing import Any
@@ -16,7 +17,7 @@ from lanewise.sources.contracts import CONTRACTS, Contract
 from lanewise.sources.ingest import ingest
 
 from . import models, staging
-from .logs import configure_logging, get_logger
+from .logs import build_audit_record, configure_logging, emit_batch_metrics, get_logger
 from .publish import PARTITIONS, write_partitioned_table
 from .session import create_spark_session_from_config, stop_spark_session
 from .settings import apply_overrides, enumerate_dates, load_config, resolve_backfill_window, resolve_run_date
@@ -123,11 +124,14 @@ def run_daily_batch(config_path: str | None = None, run_date: str | None = None,
     logs = config["logging"]
     configure_logging(str(logs.get("level", "INFO")), bool(logs.get("json", False)))
     date = resolve_batch_date(run_date, str(config["paths"].get("raw_base_path", "data/raw")))
-    logger = get_logger("lanewise.daily", run_id=f"daily_{date}_{uuid.uuid4().hex[:8]}", job="daily", env=str(config["app"].get("env", "unknown")), batch_date=date)
+    run_id, began = f"daily_{date}_{uuid.uuid4().hex[:8]}", time.monotonic()
+    logger = get_logger("lanewise.daily", run_id=run_id, job="daily", env=str(config["app"].get("env", "unknown")), batch_date=date)
     spark = None
     try:
         spark = create_spark_session_from_config(config)
         result = execute_daily_flow(spark, config, date, logger)
+        failed = {e: q["invalid_count"] for e, q in result["quality"].items()}
+        emit_batch_metrics(build_audit_record(run_id, "ok", {"seconds": round(time.monotonic() - began, 3), "tables": len(result["outputs"]), "invalid_rows": failed}))
         logger.info("Daily run finished: %s", result["outputs"])
         return 0
     except ModuleNotFoundError as error:

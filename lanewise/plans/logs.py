@@ -1,4 +1,4 @@
-"""Logs with the run's context, as text or JSON, and audit records."""
+"""Logs with the run's context, as text or JSON, audit records and metrics."""
 
 from __future__ import annotations
 
@@ -39,3 +39,8 @@ def get_logger(name: str = "lanewise", **context: Any) -> ContextLogger:
 
 def build_audit_record(run_id: str, status: str, details: dict[str, Any] | None = None) -> dict[str, Any]:
     return {"run_id": run_id, "status": status, "details": details or {}}
+
+
+def emit_batch_metrics(metrics: dict[str, Any]) -> None:
+    """One log line with a run's figures as JSON, for whatever collects the logs."""
+    get_logger("lanewise.metrics").info("%s", json.dumps(metrics, default=str, sort_keys=True))

@@ -1,5 +1,6 @@
 """Settings, command line, and whole runs on files."""
 
+import datetime
 import json
 import logging
 
@@ -124,13 +125,19 @@ def test_session_and_logs(spark):
     assert logs.build_audit_record("r", "ok") == {"run_id": "r", "status": "ok", "details": {}}
 
 
+def test_metrics_are_one_line_of_json(caplog):
+    with caplog.at_level(logging.INFO, "lanewise.metrics"):
+        logs.emit_batch_metrics({"rows": 3, "day": datetime.date(2026, 1, 1)})
+    assert [json.loads(r.getMessage()) for r in caplog.records] == [{"rows": 3, "day": "2026-01-01"}]
+
+
 def test_a_day_of_invented_files_against_plain_python(spark, tmp_path):
     """Random shipments with late states, carriers and events; facts and KPIs are worked out again row by row."""
     import random
     from collections import defaultdict
-    from datetime import datetime, timedelta
+    from datetime import timedelta
 
-    rng, start = random.Random(5), datetime(2026, 1, 1)
+    rng, start = random.Random(5), datetime.datetime(2026, 1, 1)
     show = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ") if t else ""
     regions = {"CA": "WEST", "TX": "SOUTH", "IL": "MIDWEST", "NY": "NORTHEAST"}
     ships, events = [], []
@@ -142,7 +149,7 @@ def test_a_day_of_invented_files_against_plain_python(spark, tmp_path):
     for i in range(200):
         at = start + timedelta(hours=rng.randrange(96))
         events.append((f"V{i}", f"P{rng.randrange(130)}", rng.choice(["PICKED_UP", "IN_TRANSIT", "DELIVERED", "DELIVERED", "EXCEPTION"]), at, "", rng.choice([*regions, "", ""]), "R", rng.randrange(1, 4), at))
-    write = lambda name, head, rows: (tmp_path / name).write_text("\n".join([head, *(",".join(show(v) if isinstance(v, datetime) or v is None else str(v) for v in r) for r in rows)]) + "\n")
+    write = lambda name, head, rows: (tmp_path / name).write_text("\n".join([head, *(",".join(show(v) if isinstance(v, datetime.datetime) or v is None else str(v) for v in r) for r in rows)]) + "\n")
     (tmp_path / "raw").mkdir(), (tmp_path / "ref").mkdir()
     write("raw/shipments.csv", "shipment_id,carrier_id,origin_state,destination_state,pickup_ts,promised_delivery_ts,actual_delivery_ts,shipping_cost_usd,distance_miles,updated_at", ships)
     write("raw/delivery_events.csv", "event_id,shipment_id,event_type,event_ts,event_city,event_state,delay_reason,attempt_number,updated_at", events)
