@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import for_python, scratch, stored
+from .shared import for_python, scratch, stored, tasks_for
 
 BLOCK = 8192
 SITE_BYTES = 32 << 20  # of all centres together, which are broadcast
@@ -367,8 +367,9 @@ def _solved(rows: DataFrame, threshold: float, block: int) -> DataFrame:
         yield from close()
 
     tiled = placed.join(sizes.select("space", "cell", "blocks"), ["space", "cell"]).select("cid", "label", "vector", "rep", "n", "cell", "blocks").mapInArrow(spread, _TILE)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    solved = stored(tiled.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(solve, _OUT), "vector-links", files_a_core=4)
+    met = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    parts = tasks_for(spark, met * 8 * (longest or 1))
+    solved = stored(tiled.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(solve, _OUT), "vector-links")
     counts = solved.filter("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(solved.filter("a is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "c"})
     every = classes.select("cid", "rep", "n").join(counts, "cid", "left").join(linked, "rep", "left")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import bloom, textkit
 from .bloom import mix
 from .graph import as_stars, components
-from .shared import for_python, scratch, stored
+from .shared import for_python, scratch, stored, tasks_for
 
 MINIMA = 256
 MISS = 1e-5  # at most so often do all bands miss a pair at the threshold
@@ -274,9 +274,9 @@ def _verify(threshold: int):
     return run
 
 
-def _links(tiles: DataFrame, threshold: int) -> DataFrame:
-    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(threshold), "a bigint, b bigint"), "links", files_a_core=4)
+def _links(tiles: DataFrame, threshold: int, n_bytes: int) -> DataFrame:
+    parts = tasks_for(tiles.sparkSession, n_bytes)
+    return stored(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verify(threshold), "a bigint, b bigint"), "links")
 
 
 def minhash_dedup(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -318,13 +318,15 @@ def _solved(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Dat
     keys = clusters.join(classes.select("rep", "d1", "d2"), "rep")
     members = stored(found.join(keys, ["rep", "d1", "d2"]).select("cluster", "rep", "n", "set", "signature"), "members")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint")
-    totals = stored(members.groupBy("cluster").agg(blocks.alias("blocks")), "totals", files_a_core=1)
-    links = _links(_first_tiles(members, totals), threshold)
+    totals = stored(members.groupBy("cluster").agg(blocks.alias("blocks"), F.sum("n").alias("shingles")), "totals", files_a_core=1)
+    shingles = totals.agg(F.sum(F.when(F.col("blocks") > 1, 2 * F.col("shingles")).otherwise(F.col("shingles")))).first()[0] or 0
+    links = _links(_first_tiles(members, totals.select("cluster", "blocks")), threshold, 16 * shingles)
     linked = components(links)
     if not totals.filter("blocks > 1").isEmpty():
         linked = stored(linked, "first-components", files_a_core=4).withColumnsRenamed({"node": "rep"})
         large = members.join(totals.filter("blocks > 1"), "cluster").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        rest = _links(_rest_tiles(large, threshold), threshold)
+        tiles = _rest_tiles(large.drop("blocks", "shingles"), threshold)
+        rest = _links(tiles, threshold, tiles.agg(F.sum(F.length("set"))).first()[0] or 0)
         linked = components(rest.unionAll(linked.select("rep", "component")))
     component = F.coalesce("component", "rep").alias("component_id")
     return signed, stored(classes.select("d1", "d2", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", component), "class-components", files_a_core=4)

@@ -79,6 +79,11 @@ def for_python(df: DataFrame) -> DataFrame:
     return df
 
 
+def tasks_for(spark: SparkSession, n_bytes: int) -> int:
+    """Tasks for ``n_bytes`` of rows that are compared with each other: as many as keep the cores busy, and more as the bytes grow."""
+    return max(4 * spark.sparkContext.defaultParallelism, min(n_bytes >> 23, 50_000), n_bytes >> 29)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
