@@ -15,11 +15,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY carrier_id ORDER BY updated_at D
 WHERE rn = 1
 """
 
+# The facts go into several models, so they have subqueries and no WITH: Spark can't take one frame's WITH twice into a plan.
 FCT_SHIPMENT = """
-WITH one AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id
-    ORDER BY updated_at DESC NULLS LAST, pickup_ts DESC NULLS LAST, carrier_id NULLS LAST, shipping_cost_usd NULLS LAST, distance_miles NULLS LAST) AS rn FROM {shipments})
-  WHERE rn = 1)
 SELECT s.shipment_id, coalesce(s.carrier_id, 'UNKNOWN') AS carrier_id, s.origin_state, s.destination_state,
   coalesce(r.region_code, 'UNKNOWN') AS region_code, s.pickup_ts, s.promised_delivery_ts, s.actual_delivery_ts, s.updated_at, s.shipping_cost_usd, s.distance_miles,
   if(s.actual_delivery_ts IS NOT NULL, 1, 0) AS delivered_flag,
@@ -29,14 +26,14 @@ SELECT s.shipment_id, coalesce(s.carrier_id, 'UNKNOWN') AS carrier_id, s.origin_
   if(s.destination_state IS NULL OR (s.actual_delivery_ts IS NULL AND s.updated_at > s.promised_delivery_ts), 1, 0) AS exception_flag,
   (unix_timestamp(s.actual_delivery_ts) - unix_timestamp(s.pickup_ts)) / 3600D AS transit_time_hours,
   coalesce(to_date(s.pickup_ts), to_date(s.promised_delivery_ts), to_date(s.updated_at), current_date()) AS p_date
-FROM one s LEFT JOIN {lookup} r ON s.destination_state = r.state_code
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY shipment_id
+    ORDER BY updated_at DESC NULLS LAST, pickup_ts DESC NULLS LAST, carrier_id NULLS LAST, shipping_cost_usd NULLS LAST, distance_miles NULLS LAST) AS rn FROM {shipments}) s
+LEFT JOIN {lookup} r ON s.destination_state = r.state_code
+WHERE s.rn = 1
 """
 
 FCT_DELIVERY_EVENT = """
-WITH e AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY updated_at DESC NULLS LAST, event_ts DESC NULLS LAST) AS rn FROM {events}) WHERE rn = 1),
-s AS (
-  SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY updated_at DESC NULLS LAST, pickup_ts DESC NULLS LAST, carrier_id NULLS LAST, shipping_cost_usd NULLS LAST, distance_miles NULLS LAST) AS rn FROM {shipments})
 SELECT e.event_id, e.shipment_id, coalesce(s.carrier_id, 'UNKNOWN') AS carrier_id, e.event_type, e.event_ts, e.event_city, e.event_state, e.delay_reason, e.attempt_number, e.updated_at,
   coalesce(er.region_code, sr.region_code, 'UNKNOWN') AS region_code,
   coalesce(to_date(e.event_ts), to_date(e.updated_at), current_date()) AS p_date,
@@ -45,9 +42,13 @@ SELECT e.event_id, e.shipment_id, coalesce(s.carrier_id, 'UNKNOWN') AS carrier_i
     THEN greatest((unix_timestamp(e.event_ts) - unix_timestamp(s.promised_delivery_ts)) / 60D, 0D) END AS delay_minutes,
   if(e.event_type IN ('EXCEPTION', 'HOLD'), 1, 0) AS exception_flag,
   CASE WHEN e.event_type = 'DELIVERED' THEN (unix_timestamp(e.event_ts) - unix_timestamp(s.pickup_ts)) / 3600D END AS transit_time_hours
-FROM e LEFT JOIN s ON e.shipment_id = s.shipment_id AND s.rn = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY updated_at DESC NULLS LAST, event_ts DESC NULLS LAST) AS rn FROM {events}) e
+LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY updated_at DESC NULLS LAST, pickup_ts DESC NULLS LAST, carrier_id NULLS LAST, shipping_cost_usd NULLS LAST, distance_miles NULLS LAST) AS rn
+  FROM {shipments}) s ON e.shipment_id = s.shipment_id AND s.rn = 1
 LEFT JOIN {lookup} er ON e.event_state = er.state_code
 LEFT JOIN {lookup} sr ON s.destination_state = sr.state_code
+WHERE e.rn = 1
 """
 
 AGG_SHIPMENT_DAILY = """

@@ -17,6 +17,12 @@ def test_query_matches_sql(spark, sf_dir, same_rows, name):
     same_rows(QUERIES[name](spark, sf_dir), ORACLES[name])
 
 
+@pytest.mark.parametrize("name", ["kpi_delivery_daily", "sql_kpi_delivery_daily", "sql_agg_shipment_daily", "reconciliation_join", "union_all_checks", "agg_event_left_join"])
+def test_query_can_be_written(spark, sf_dir, name):
+    """A write plans anew: a frame that goes into a plan twice must allow that."""
+    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+
+
 def test_entry(spark, sf_dir):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
