@@ -32,7 +32,7 @@ from .shared import for_python
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 LONG = 64  # bytes
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 

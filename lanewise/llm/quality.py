@@ -217,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = context_sums(index, (own for batch in batches for own in unpacked(batch)))
         if total.any():
-            yield pa.record_batch([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "sums"])
+            for i, c in enumerate(np.split(total, CHUNKS)):
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["chunk", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
